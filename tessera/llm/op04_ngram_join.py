@@ -94,43 +94,39 @@ def common_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray,
 
 
 def _heads(batches: Iterator[pa.RecordBatch], n: int, common, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(id, n, s1, s2, head, bucket): size, 128-bit signature, head shingles and their salted buckets."""
-    known, counts = common.value if hasattr(common, "value") else common
+    """(id, n, s1, s2, head, salt): size, 128-bit signature, head shingles, and their salts (null where all are 0)."""
+    known, counts = common.value
     salts = np.maximum(1, counts // BUCKET).astype(U)
     for batch, start, sets in _sets(batches, n):
         sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
         hot = np.zeros(len(every), bool)
-        salt = np.ones(len(every), U)
+        ways = np.ones(len(every), U)
         if len(known):
             at = np.minimum(np.searchsorted(known, every), len(known) - 1)
             hot = known[at] == every
-            salt[hot] = salts[at[hot]]
+            ways[hot] = salts[at[hot]]
         stop = np.cumsum(sizes)
-        s1 = np.zeros(len(sets), U)
-        s2 = np.zeros(len(sets), U)
-        heads, buckets = [], []
+        s1, s2 = signatures(sets)
+        heads, turns = [], []
         for i, (m, e) in enumerate(zip(sizes.tolist(), stop.tolist(), strict=True)):
-            own = every[e - m : e]
-            if not m:
-                heads.append(own)
-                buckets.append(own)
-                continue
-            s1[i] = own.sum()
-            s2[i] = mix(own ^ U(0xA5A5A5A5A5A5A5A5)).sum()
-            size = head_size(m, num, den)
-            is_hot = hot[e - m : e]
+            own, is_hot = every[e - m : e], hot[e - m : e]
+            size = head_size(m, num, den) if m else 0
             rare = own[~is_hot][:size]
             late = own[is_hot][: size - len(rare)]
             heads.append(np.concatenate([rare, late]))
-            if len(late):
-                turn = mix(late ^ s1[i]) % salt[e - m : e][is_hot][: len(late)]
-                late = np.where(turn == 0, late, mix(late + turn * U(0x9E3779B97F4A7C15)))
-            buckets.append(np.concatenate([rare, late]))
+            turn = mix(late ^ s1[i]) % ways[e - m : e][is_hot][: len(late)]
+            turns.append([0] * len(rare) + turn.tolist() if turn.any() else None)
         ids = batch.column(0).slice(start, len(sets))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(np.concatenate(x)))) for x in (heads, buckets)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(as_long(s1)), pa.array(as_long(s2)), *lists], ["id", "n", "s1", "s2", "head", "bucket"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(np.concatenate(heads))))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(as_long(s1)), pa.array(as_long(s2)), lists, pa.array(turns, pa.list_(pa.int32()))], ["id", "n", "s1", "s2", "head", "salt"])
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit sums per set."""
+    s1 = np.array([x.sum() for x in sets], U)
+    return s1, np.array([mix(x ^ U(0xA5A5A5A5A5A5A5A5)).sum() for x in sets], U)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -139,10 +135,8 @@ def _bodies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     for batch, start, sets in _sets(batches, n):
         ids = batch.column(0).slice(start, len(sets)).to_pylist()
         out = [[], [], [], [], []]
-        for i, own in zip(ids, sets, strict=True):
-            if not len(own):
-                continue
-            sig = int(as_long(own.sum(keepdims=True))[0]), int(as_long(mix(own ^ U(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0])
+        sigs = zip(*(as_long(x).tolist() for x in signatures(sets)), strict=True)
+        for i, sig, own in zip(ids, sigs, sets, strict=True):
             at = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1).astype(U))
             for k in range(FRAGMENTS):
                 if at[k] < at[k + 1]:
@@ -176,22 +170,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     held = common_shingles(docs, text_col, n)
     common = spark.sparkContext.broadcast(held)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _heads(it, n, common, num, den), "id long, n long, s1 long, s2 long, head array<long>, bucket array<long>")
-    sized = cut(rows)
-    classes = (
-        sized.where("n > 0 and id is not null")
-        .groupBy("s1", "s2", "n")
-        .agg(F.min("id").alias("rep"), F.first("head").alias("head"), F.first("bucket").alias("bucket"))
-        .withColumn("cid", F.monotonically_increasing_id())
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _heads(it, n, common, num, den), "id long, n long, s1 long, s2 long, head array<long>, salt array<int>")
+    sized = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    classes = sized.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row")).alias("x")).select("s1", "s2", "n", F.col("x.id").alias("rep"), F.col("x.row").alias("cid"))
     classes = cut(classes)
-    release(spark)
 
-    # Head postings, dealt by bucket once; those in a bucket alone go.
-    post = classes.select("cid", F.explode(F.arrays_zip("head", "bucket")).alias("x")).select("cid", F.col("x.head").alias("h"), F.col("x.bucket").alias("k"))
+    # Head postings of one row a class, dealt by shingle once; those that no other class has go.
+    one = sized.select(F.col("row").alias("cid"), "head", "salt").join(classes.select("cid"), "cid")
+    sized = cut(sized.select("id", "n", "s1", "s2"))
+    item = F.explode(F.arrays_zip("head", F.coalesce("salt", F.array().cast("array<int>")).alias("salt"))).alias("x")
+    post = one.select("cid", item).select("cid", F.col("x.head").alias("h"), F.coalesce("x.salt", F.lit(0)).alias("salt"))
     post = post.repartition("h")
     often = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    post = cut(post.join(often, "h"))
+    post = cut(post.join(often, "h").select("cid", "h", F.when(F.col("salt") == 0, F.col("h")).otherwise(F.xxhash64("h", "salt")).alias("k")))
+    del one
     release(spark)
     shared = post.groupBy("cid").agg(F.count("*").alias("shared"))
     rank = cut(shared.join(classes.select("cid", "n"), "cid").select("cid", "n", (F.col("shared") / (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)).alias("share")))
