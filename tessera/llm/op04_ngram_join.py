@@ -189,43 +189,56 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rank = cut(shared.join(classes.select("cid", "n"), "cid").select("cid", "n", (F.col("shared") / (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)).alias("share")))
     post = cut(post.join(rank, "cid"))
 
-    comps = None
-    edges = None
+    def merged(found: DataFrame | None) -> DataFrame:
+        """Postings with the component their class is in so far."""
+        if found is None:
+            return post.withColumn("comp", F.col("cid"))
+        return post.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    def can_link(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb, o) whose common head shingles, o, let them link.
+
+        A pair that links shares num (na + nb) / (num + den) shingles. Of two heads one ends first in the order; what
+        its document shares beyond that head is in its tail.
+        """
+        tail = lambda c: F.floor((F.col(c) * num + (den - 1)) / den) - 1
+        return pairs.where((F.col("o") + F.greatest(tail("na"), tail("nb"))) * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _counted(pairs, docs, classes, id_col, text_col, n, num, den)
+
+    comps = edges = None
     for turn in range(ROUNDS):
-        live = post.withColumn("comp", F.col("cid")) if comps is None else post.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        mixed = live.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-        live = live.join(mixed, "k")
-        # the member that shares most leads; in later turns one of the component that leads least often so far
+        live = merged(comps)
+        meet = live.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
+        live = live.join(meet, "k")
+        # The class that shares most leads; in later turns also of another component each time.
         order = F.struct(F.round("share", 1), -F.xxhash64("comp", F.lit(turn)), -F.col("cid")) if turn else F.struct(F.round("share", 1), -F.col("cid"))
         lead = live.groupBy("k").agg(F.max_by(F.struct("cid", "n", "comp"), order).alias("lead"))
         pairs = live.join(lead, "k").where("comp != lead.comp").where(F.lit(den) * F.least("n", "lead.n") >= F.lit(num) * F.greatest("n", "lead.n"))
-        pairs = cut(pairs.select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")).distinct())
-        if pairs.isEmpty():
+        pairs = pairs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lead.cid").alias("b"), F.col("lead.n").alias("nb")).distinct()
+        both = pairs.join(post.select(F.col("cid").alias("a"), "h"), "a").join(post.select(F.col("cid").alias("b"), "h"), ["b", "h"])
+        pairs = can_link(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o")))
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = None if pairs.isEmpty() else linked(pairs)
+        if links is None or links.isEmpty():
             break
-        links = _counted(pairs, docs, classes, id_col, text_col, n, num, den)
         edges = links if edges is None else edges.unionByName(links)
         comps = connected_components(edges)
         release(spark)
-        if links.isEmpty():
-            break
 
     # The exact rest: any two components that still meet under a shingle of the head.
-    live = post.withColumn("comp", F.col("cid")) if comps is None else post.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    live = live.join(mixed, "h").select("h", "cid", "n", "comp")
-    live = cut(live)
-    other = live.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    met = live.select("h", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(other, "h").where("a < b and ca != cb")
-    met = met.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    counts = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"))
-    # A pair that links shares (num (na + nb)) / (num + den) shingles; beyond the shorter tail of a head all may be shared.
-    tail = lambda c: F.floor((F.col(c) * num + (den - 1)) / den) - 1
-    pairs = counts.where((F.col("o") + F.greatest(tail("na"), tail("nb"))) * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
-    pairs = cut(pairs)
+    live = merged(comps)
+    meet = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    live = cut(live.join(meet, "h").select("h", "cid", "n", "comp"))
+    one, two = (live.select("h", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
+    both = one.join(two, "h").where("a < b and ca != cb").where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
+    pairs = cut(can_link(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"))))
     if not pairs.isEmpty():
-        links = _counted(pairs, docs, classes, id_col, text_col, n, num, den)
+        links = linked(pairs)
         edges = links if edges is None else edges.unionByName(links)
         comps = connected_components(edges)
+    release(spark)
 
     out = classes.select("s1", "s2", "n", "cid", "rep")
     if comps is not None:
@@ -244,3 +257,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(F.col("id").isNull(), None).when(none, F.col("id")).otherwise(F.col("least")).cast("long").alias("component_id"),
         F.when(F.col("id").isNull(), None).when(none, F.col("id")).otherwise(F.col("rep")).cast("long").alias("class_id"),
     )
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+whole AS (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k FROM sets GROUP BY doc_id),
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM whole),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sets a JOIN sets b USING (g) GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y)::BIGINT AS component_id,
+  coalesce(any_value(cls.class_id), w.doc_id)::BIGINT AS class_id
+FROM w JOIN reach ON reach.x = w.doc_id LEFT JOIN sizes ON sizes.doc_id = w.doc_id LEFT JOIN cls ON cls.doc_id = w.doc_id GROUP BY w.doc_id
+"""
