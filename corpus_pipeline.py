@@ -1,31 +1,66 @@
 """The corpus pipeline: language ID, near-duplicate join, decontamination, pseudonyms, mixing.
 
 STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``; ``run`` applies
+them in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_dir
+from tessera.llm.op03_decontam import decontaminate
 from tessera.llm.op04_ngram_join import ngram_jaccard_join
+from tessera.llm.op05_pii import pseudonymize
+from tessera.llm.op06_langid import UNKNOWN, fit, held_out, identify
+from tessera.llm.op07_mixing import mix_sources
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose nearest codeword has less probability than this is rejected as no known language.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go, and those that no codeword is near to."""
+    docs = docs.select(*COLUMNS)
+    model = fit(docs.where(~held_out("doc_id", 4, 2)))
+    found = identify(docs, model)
+    return found.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays."""
-    found = ngram_jaccard_join(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+    """Of each component of near-duplicates the document with the smallest doc_id stays; rows without doc_id stay."""
+    docs = docs.select(*COLUMNS)
+    gone = ngram_jaccard_join(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced; n_chars follows."""
+    return pseudonymize(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mix_sources(docs)
 
 
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pseudonyms", pseudonyms),
+    ("mixing", mixing),
 ]
 
-#: Language models, alignment and simhash windows have no SQL form; tests/llm holds run() against brute force.
+#: Learned models and SimHash windows have no SQL form; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

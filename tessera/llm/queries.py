@@ -7,20 +7,52 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op04_ngram_join, op07_mixing
+from .op03_decontam import find_leaks
 from .op04_ngram_join import ngram_jaccard_join
+from .op05_pii import pseudonymize
+from .op06_langid import predicted_languages
+from .op07_mixing import mix_sources
+from .op08_quality import quality_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_ngram_join": op4_ngram_join,
+    "op5_pii": op5_pii,
+    "op6_language_id": op6_language_id,
+    "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+#: What SQL can express over whole tables; the others are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op4_ngram_join": op04_ngram_join.SQL, "op7_mixing": op07_mixing.SQL}
