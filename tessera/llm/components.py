@@ -11,7 +11,7 @@ from .common import cut
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): comp is one node of the component; nodes without an edge to another are absent.
 
-    Each round every node points to its smallest neighbour or itself, pointers are followed twice, and the edges are
+    Each round every node points to its smallest neighbour or itself, pointers are followed once more, and the edges are
     rewritten to what their ends point to. Every component with an edge loses at least half of its nodes a round.
     Null ends, loops and repeated edges are ignored. Hubs are pre-aggregated before each shuffle.
     """
@@ -22,11 +22,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not live.isEmpty():
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        point = cut(point)
         hop = point.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        point = point.join(hop, "to").select("node", F.col("then").alias("to"))
-        point = point.join(hop, "to").select("node", F.col("then").alias("to"))
-        point = cut(point)
+        point = cut(point.join(hop, "to").select("node", F.col("then").alias("to")))
         labels = point.withColumnRenamed("to", "comp") if labels is None else _follow(labels, point)
         pa, pb = point.select(F.col("node").alias("a"), F.col("to").alias("ta")), point.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         live = live.join(pa, "a").join(pb, "b").where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))

@@ -39,8 +39,8 @@ FRAGMENTS = 8
 COMMON, COMMON_MAX = 16, 1 << 20
 #: Members of a sub-bucket of a common shingle, roughly.
 BUCKET = 4096
-#: Star rounds before the exact step.
-ROUNDS = 3
+#: Star rounds before the exact step, at most; they end when that step would build WORK pairs a posting or fewer.
+ROUNDS, WORK = 6, 8
 
 
 def head_size(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -186,7 +186,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     del one
     release(spark)
     shared = post.groupBy("cid").agg(F.count("*").alias("shared"))
-    rank = cut(shared.join(classes.select("cid", "n"), "cid").select("cid", "n", (F.col("shared") / (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)).alias("share")))
+    rank = shared.join(classes.select("cid", "n"), "cid").select("cid", "n", (F.col("shared") / (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)).alias("share"))
     post = cut(post.join(rank, "cid"))
 
     def merged(found: DataFrame | None) -> DataFrame:
@@ -209,9 +209,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     comps = edges = None
     for turn in range(ROUNDS):
-        live = merged(comps)
-        meet = live.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-        live = live.join(meet, "k")
+        meet = merged(comps).groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+        live = cut(merged(comps).join(meet.select("h", "c"), "h"))
+        # Whether the pairs of the exact step are few: as many as WORK per posting at most.
+        rows, work = live.agg(F.count("*"), F.coalesce(F.sum(F.col("c")), F.lit(0))).first()
+        if work <= WORK * rows:
+            break
         # The class that shares most leads; in later turns also of another component each time.
         order = F.struct(F.round("share", 1), -F.xxhash64("comp", F.lit(turn)), -F.col("cid")) if turn else F.struct(F.round("share", 1), -F.col("cid"))
         lead = live.groupBy("k").agg(F.max_by(F.struct("cid", "n", "comp"), order).alias("lead"))
