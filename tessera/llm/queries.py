@@ -6,20 +6,28 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import op04_ngram_join, op07_mixing
+from .op02_media import media_columns
 from .op03_decontam import find_leaks
 from .op04_ngram_join import ngram_jaccard_join
 from .op05_pii import pseudonymize
 from .op06_langid import predicted_languages
 from .op07_mixing import mix_sources
 from .op08_quality import quality_scores
+from .op09_chat import digests, format_chats
+from .op10_html import extract_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,13 +52,27 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return digests(format_chats(rows.unionByName(more)))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
+    "op10_html": op10_html,
     "pipeline": corpus_pipeline.run,
 }
 
