@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op04_ngram_join, op07_mixing
+from .op01_license import scan_licenses
 from .op02_media import media_columns
 from .op03_decontam import find_leaks
 from .op04_ngram_join import ngram_jaccard_join
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license": op1_license,
     "op2_media": op2_media,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_join": op4_ngram_join,
