@@ -125,10 +125,9 @@ class Library:
                 else:
                     runs.append([p])
             for run in runs:
-                lo, hi = max(0, run[0] - size), min(len(words), run[-1] + SHINGLE + size)
-                pairs = patience(words[lo:hi].tolist(), self.lists[k])
-                # what aligns far from the hits is chance
-                pairs = [(i + lo, j) for i, j in pairs if run[0] - size // 2 <= i + lo <= run[-1] + SHINGLE + size // 2]
+                # a few words on both sides may align that are in no common shingle
+                lo, hi = max(0, run[0] - size // 8 - 1), min(len(words), run[-1] + SHINGLE + size // 8 + 1)
+                pairs = [(i + lo, j) for i, j in patience(words[lo:hi].tolist(), self.lists[k])]
                 if size and len(pairs) / size >= LEAST:
                     found.append((k, len(pairs) / size, pairs[0][0], pairs[-1][0] + 1, len(pairs)))
         found.sort(key=lambda x: (-x[4], -x[1], self.names[x[0]]))
