@@ -33,13 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there: lost executors don't undo it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Writes ``df`` as a table in the shared checkpoint folder and reads it from there: lost executors don't undo it."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, "cut")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "_cut_path", None):
+            jvm = t.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(t._cut_path)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see that finished shuffles and checkpoints have no reader any more."""
+    """Lets Spark's cleaner see that finished shuffles have no reader any more."""
     spark.sparkContext._jvm.System.gc()
 
 

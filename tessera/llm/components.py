@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,19 +18,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     x, y = F.col(a), F.col(b)
     live = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     live = cut(live.distinct())
-    labels = None
+    labels, points = None, []
     while not live.isEmpty():
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
         hop = point.select(F.col("node").alias("to"), F.col("to").alias("then"))
         point = cut(point.join(hop, "to").select("node", F.col("then").alias("to")))
         labels = point.withColumnRenamed("to", "comp") if labels is None else _follow(labels, point)
+        old = live
         pa, pb = point.select(F.col("node").alias("a"), F.col("to").alias("ta")), point.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         live = live.join(pa, "a").join(pb, "b").where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         live = cut(live.distinct())
+        drop(old)
+        points.append(point)
     if labels is None:
         return edges.select(x.alias("node"), x.alias("comp")).limit(0)
-    return cut(labels)
+    labels = cut(labels)
+    drop(*points)
+    return labels
 
 
 def _follow(labels: DataFrame, point: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U, as_long, chunks, cut, mix, release, shingle_sets
+from .common import BROADCAST_ROWS, U, as_long, chunks, cut, drop, mix, release, shingle_sets
 from .components import connected_components
 
 #: Words of a shingle, and the similarity as a fraction.
@@ -89,6 +89,7 @@ def common_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray,
             break
     rows = found.where(F.col("c") >= least).toArrow()
     h, c = rows["h"].to_numpy().view(U), rows["c"].to_numpy()
+    drop(found)
     order = np.argsort(h)
     return h[order], c[order]
 
@@ -162,7 +163,9 @@ def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
     whole = part.groupBy("a", "b").agg(F.sum("o").alias("o"))
     n_of = need.select("cid", "n")
     whole = whole.join(small(n_of.select(F.col("cid").alias("a"), F.col("n").alias("na"))), "a").join(small(n_of.select(F.col("cid").alias("b"), F.col("n").alias("nb"))), "b")
-    return cut(whole.where(F.lit(den) * F.col("o") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o"))
+    links = cut(whole.where(F.lit(den) * F.col("o") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o"))
+    drop(need, body)
+    return links
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -177,23 +180,24 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Head postings of one row a class, dealt by shingle once; those that no other class has go.
     one = sized.select(F.col("row").alias("cid"), "head", "salt").join(classes.select("cid"), "cid")
-    sized = cut(sized.select("id", "n", "s1", "s2"))
+    heads, sized = sized, cut(sized.select("id", "n", "s1", "s2"))
     item = F.explode(F.arrays_zip("head", F.coalesce("salt", F.array().cast("array<int>")).alias("salt"))).alias("x")
     post = one.select("cid", item).select("cid", F.col("x.head").alias("h"), F.coalesce("x.salt", F.lit(0)).alias("salt"))
     post = post.repartition("h")
     often = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     post = cut(post.join(often, "h").select("cid", "h", F.when(F.col("salt") == 0, F.col("h")).otherwise(F.xxhash64("h", "salt")).alias("k")))
-    del one
+    drop(heads)
+    del one, heads
     release(spark)
-    shared = post.groupBy("cid").agg(F.count("*").alias("shared"))
-    rank = shared.join(classes.select("cid", "n"), "cid").select("cid", "n", (F.col("shared") / (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)).alias("share"))
-    post = cut(post.join(rank, "cid"))
+    shared = post.groupBy("cid").agg(F.count("*").alias("shared")).join(classes.select("cid", "n"), "cid")
+    rank = cut(shared.select("cid", "n", (F.col("shared") / (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)).alias("share")))
 
     def merged(found: DataFrame | None) -> DataFrame:
-        """Postings with the component their class is in so far."""
-        if found is None:
-            return post.withColumn("comp", F.col("cid"))
-        return post.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        """Postings with size, share and the component their class is in so far."""
+        known = rank.withColumn("comp", F.col("cid"))
+        if found is not None:
+            known = rank.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        return post.join(known, "cid")
 
     def can_link(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb, o) whose common head shingles, o, let them link.
@@ -209,12 +213,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     comps = edges = None
     for turn in range(ROUNDS):
-        meet = merged(comps).groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-        live = cut(merged(comps).join(meet.select("h", "c"), "h"))
+        live = merged(comps)
+        meet = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
         # Whether the pairs of the exact step are few: as many as WORK per posting at most.
-        rows, work = live.agg(F.count("*"), F.coalesce(F.sum(F.col("c")), F.lit(0))).first()
+        rows, work = meet.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
         if work <= WORK * rows:
             break
+        live = live.join(meet.select("h"), "h")
         # The class that shares most leads; in later turns also of another component each time.
         order = F.struct(F.round("share", 1), -F.xxhash64("comp", F.lit(turn)), -F.col("cid")) if turn else F.struct(F.round("share", 1), -F.col("cid"))
         lead = live.groupBy("k").agg(F.max_by(F.struct("cid", "n", "comp"), order).alias("lead"))
@@ -224,10 +229,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = can_link(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o")))
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = None if pairs.isEmpty() else linked(pairs)
+        drop(pairs)
         if links is None or links.isEmpty():
             break
         edges = links if edges is None else edges.unionByName(links)
-        comps = connected_components(edges)
+        old, comps = comps, connected_components(edges)
+        drop(old)
         release(spark)
 
     # The exact rest: any two components that still meet under a shingle of the head.
@@ -237,10 +244,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one, two = (live.select("h", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
     both = one.join(two, "h").where("a < b and ca != cb").where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
     pairs = cut(can_link(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"))))
+    drop(live, post)
+    release(spark)
     if not pairs.isEmpty():
         links = linked(pairs)
         edges = links if edges is None else edges.unionByName(links)
-        comps = connected_components(edges)
+        old, comps = comps, connected_components(edges)
+        drop(old)
+    drop(pairs)
     release(spark)
 
     out = classes.select("s1", "s2", "n", "cid", "rep")
@@ -251,6 +262,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         out = out.withColumn("least", F.col("rep"))
     out = cut(out.select("s1", "s2", "n", "least", "rep"))
+    drop(classes, rank, comps)
     release(spark)
     back = sized.select("id", "n", "s1", "s2").join(out, ["s1", "s2", "n"], "left")
     none = F.col("n") == 0
