@@ -1,0 +1,16 @@
+"""Lineage cuts for iterative plans, in the folder that the session's spark.checkpoint.dir names."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it from there; a folder of its own is set only where none is."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
