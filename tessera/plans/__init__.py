@@ -1,4 +1,4 @@
 """Queries of the operators over the test tables; importing this fills the registry."""
 
-from . import q_search  # noqa: F401
+from . import q_joins, q_search  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
