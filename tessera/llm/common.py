@@ -15,7 +15,7 @@ MIX_1, MIX_2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 #: Text bytes that one vectorised step hashes at most (a longer text is one step by itself).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: Rows that the driver broadcasts as a join side; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

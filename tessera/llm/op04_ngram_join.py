@@ -40,7 +40,7 @@ COMMON, COMMON_MAX = 16, 1 << 20
 #: Members of a sub-bucket of a common shingle, roughly.
 BUCKET = 4096
 #: Star rounds before the exact step, at most; they end when that step would build WORK pairs a posting or fewer.
-ROUNDS, WORK = 6, 8
+ROUNDS, WORK = 6, 16
 
 
 def head_size(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -55,7 +55,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 
 
 def _common(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(h, c): shingles that come at least three times within about four million."""
+    """(h, c): shingles that come at least three times within about two million."""
     held, total = [], 0
 
     def counted():
@@ -66,7 +66,7 @@ def _common(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     for _, _, sets in _sets(batches, n):
         held += sets
         total += sum(map(len, sets))
-        if total >= 4_000_000:
+        if total >= 2_000_000:
             yield counted()
             held, total = [], 0
     if total:
@@ -211,12 +211,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def linked(pairs: DataFrame) -> DataFrame:
         return _counted(pairs, docs, classes, id_col, text_col, n, num, den)
 
+    def meeting(found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(postings so far, shingles where components meet): of each its largest component and two counts of postings."""
+        live = merged(found)
+        sizes = live.groupBy("h", "comp").agg(F.count("*").alias("m"))
+        met = sizes.groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("c"), F.max("m").alias("most"))
+        return live, met.where("most < c")
+
     comps = edges = None
     for turn in range(ROUNDS):
-        live = merged(comps)
-        meet = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-        # Whether the pairs of the exact step are few: as many as WORK per posting at most.
-        rows, work = meet.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
+        live, meet = meeting(comps)
+        # Whether the exact step builds few pairs: WORK per posting at most.
+        rows, work = meet.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * (F.col("c") - F.col("most"))), F.lit(0))).first()
         if work <= WORK * rows:
             break
         live = live.join(meet.select("h"), "h")
@@ -238,11 +244,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         release(spark)
 
     # The exact rest: any two components that still meet under a shingle of the head.
-    live = merged(comps)
-    meet = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    live = cut(live.join(meet, "h").select("h", "cid", "n", "comp"))
-    one, two = (live.select("h", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
-    both = one.join(two, "h").where("a < b and ca != cb").where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
+    # Members of a shingle's largest component are compared with the other members only.
+    live, meet = meeting(comps)
+    live = cut(live.join(meet.select("h", "big"), "h").select("h", "big", "cid", "n", "comp"))
+    one = live.where("comp != big").select("h", "big", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    two = live.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    both = one.join(two, "h").where("ca != cb and (cb = big or a < b)").where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
     pairs = cut(can_link(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"))))
     drop(live, post)
     release(spark)
