@@ -35,19 +35,20 @@ def minus(a: Column, b: Column) -> Column:
     return F.struct((a["n"] - b["n"]).alias("n"), (a["sum"] - b["sum"]).cast("decimal(38,0)").alias("sum"))
 
 
-def limbs(domain: str, *cols) -> list[Column]:
-    """Eight aggregates, the sums of the 32-bit limbs, lowest last."""
-    h = member(domain, *cols)
-    return [F.sum(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"limb{i}") for i in range(8)]
+def limbs(h: Column | str) -> list[Column]:
+    """Eight aggregates over a column of member digests: the sums of the 32-bit limbs, lowest last."""
+    h = F.col(h) if isinstance(h, str) else h
+    return [F.sum(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")).alias(f"limb{i}") for i in range(8)]
 
 
 def identity(prefix: str = "limb") -> Column:
-    """The sum of members modulo 2^256 in hex, of the eight limb sums."""
-    out, carry = [], F.lit(0).cast("decimal(38,0)")
-    for i in reversed(range(8)):
-        v = F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).cast("decimal(38,0)") + carry
-        v = v.cast("decimal(38,0)")
-        low = (v % F.lit(1 << 32)).cast("bigint")
-        carry = ((v - low) / F.lit(1 << 32)).cast("decimal(38,0)")
-        out.append(F.lpad(F.lower(F.hex(low)), 8, "0"))
-    return F.concat(*reversed(out))
+    """The sum of members modulo 2^256 in hex, of the eight limb sums; a fold, so that the carry is one expression."""
+    word = F.lit(1 << 32).cast("decimal(20,0)")
+    sums = F.array(*[F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).cast("decimal(38,0)") for i in reversed(range(8))])
+
+    def add(s: Column, limb: Column) -> Column:
+        v = (limb + s["carry"]).cast("decimal(38,0)")
+        low = (v % word).cast("bigint")
+        return F.struct(F.concat(F.lpad(F.lower(F.hex(low)), 8, "0"), s["out"]).alias("out"), ((v - low) / word).cast("decimal(38,0)").alias("carry"))
+
+    return F.aggregate(sums, F.struct(F.lit("").alias("out"), F.lit(0).cast("decimal(38,0)").alias("carry")), add)["out"]

@@ -78,7 +78,8 @@ def upsert_counters(base: DataFrame, delta: DataFrame, name: str = "name", value
 
 def ambiguity(df: DataFrame, *cols: str) -> DataFrame:
     """Rows with how many share their columns, and whether more than one does; by a join on pre-aggregated counts."""
-    counts = df.groupBy(*cols).agg(F.count("*").alias("same"))
-    cond = [df[c].eqNullSafe(counts[c]) for c in cols]
-    got = df.join(counts, cond).select(*[df[c] for c in df.columns], counts["same"])
-    return got.withColumn("ambiguous", col("same") > 1)
+    counts = df.groupBy(*[F.col(c).alias(f"__{c}") for c in cols]).agg(F.count("*").alias("same"))
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(counts, cond).select(*df.columns, "same", (col("same") > 1).alias("ambiguous"))

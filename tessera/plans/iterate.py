@@ -7,10 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there; a folder of its own is set only where none is."""
-    spark = df.sparkSession
+def shared_dir(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of its own is made only where none is set."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    found = sc._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        found = sc._jsc.sc().getCheckpointDir()
+    return spark.conf.get("spark.checkpoint.dir", None) or found.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it from there, so that lost executors don't undo it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
