@@ -64,10 +64,10 @@ def _(t):
     return sink.reconcile(p, present, "url", "http://")
 
 
-@query("K08_inventory_sweep", "SELECT o_custkey FROM orders WHERE o_orderkey < 8000 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey >= 4000) GROUP BY o_custkey")
+@query("K08_inventory_sweep", "SELECT o_custkey FROM orders WHERE o_orderkey < 1500 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 1500 AND o_orderkey % 2 = 0) GROUP BY o_custkey")
 def _(t):
-    o = t.orders.select("o_orderkey", "o_custkey")
-    return sink.sweep(o.where("o_orderkey < 8000"), o.where("o_orderkey >= 4000"), "o_orderkey", "o_custkey", True)[1]
+    o = t.orders.select("o_orderkey", "o_custkey").where("o_orderkey < 1500")
+    return sink.sweep(o, o.where("o_orderkey % 2 = 0"), "o_orderkey", "o_custkey", True)[1]
 
 
 @query("K09_semantic_postings", "SELECT 'dep' AS posting, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'prefix', count(*)::BIGINT FROM (SELECT DISTINCT p_brand, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 UNION SELECT DISTINCT p_brand || '.' || p_type, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45)")
