@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut
+from ..iterate import cut
 
 
 def reach(edges: DataFrame, roots: DataFrame, levels: int, outgoing: bool = True, kinds: Sequence[str] | None = None, stop: DataFrame | None = None) -> DataFrame:

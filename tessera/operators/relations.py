@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dotted_prefixes
+from ..iterate import cut
 from .layers import first_winner
 
 
@@ -22,8 +23,6 @@ def resolve_inherited(edges: DataFrame, members: DataFrame, parents: DataFrame,
     ``edges``: (src, owner, name); ``members``: (owner, name, id, flags); ``parents``: (child, parent). Private members
     are not inherited. Result: src, owner, name, found_in, id, levels. The frontier shrinks as names are found.
     """
-    from ..plans.iterate import cut
-
     open_ = edges.select("src", "owner", "name").distinct().withColumn("at", F.col("owner"))
     visited = open_
     done = None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables as sink
 from ..streaming import deltas as d
-from .iterate import shared_dir
+from ..iterate import shared_dir
 from .registry import query
 
 
