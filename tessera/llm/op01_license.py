@@ -101,6 +101,8 @@ class Library:
         held = [window_hashes(w, SHINGLE) for w in self.words]
         self.keys = np.unique(np.concatenate([*held, np.empty(0, U)]))
         self.of = [set(h.tolist()) for h in held]
+        #: Place in the template of the shingles that come once in it.
+        self.place = [{x: i for i, x in enumerate(h.tolist()) if c[x] == 1} for h in held for c in [Counter(h.tolist())]]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> U(44)).astype(np.int64)] = True
 
@@ -119,11 +121,17 @@ class Library:
             hits = [p for p in at.tolist() if int(h[p]) in own]
             size = len(self.lists[k])
             runs: list[list[int]] = []
+            last = -1
             for p in hits:
-                if runs and p - runs[-1][-1] <= size:
+                spot = self.place[k].get(int(h[p]), last + 1)
+                # a wide gap, or a step back in the template, starts another copy of the license
+                if runs and p - runs[-1][-1] <= size and spot > last:
                     runs[-1].append(p)
                 else:
                     runs.append([p])
+                last = self.place[k].get(int(h[p]), last)
+                if runs[-1] == [p] and int(h[p]) not in self.place[k]:
+                    last = -1
             for run in runs:
                 # a few words on both sides may align that are in no common shingle
                 lo, hi = max(0, run[0] - size // 8 - 1), min(len(words), run[-1] + SHINGLE + size // 8 + 1)

@@ -106,7 +106,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([*[(i, " ".join(w)) for i, w in enumerate(items)], (9, None), (10, ""), (11, "tiny item")], "item_id long, text string")
     noise = [words(50 + i, 80) for i in range(4)]
     near = list(items[3])
-    near[5] = "changed"
+    near[1] = "changed"
     texts = [" ".join(noise[0] + items[1] + noise[1]), " ".join(near).upper(), " ".join(noise[2]), None, "", "so a tiny item here", " ".join(items[2][:9] + noise[3]), " ".join(items[0])]
     d = docs(spark, texts)
     got = {(r.doc_id, r.item_id): r for r in dec.find_leaks(d, bench).collect()}
@@ -169,7 +169,7 @@ def test_language_id(spark):
     for i in range(240):
         k = sorted(alphabets)[i % 3]
         rows.append((i, " ".join("".join(r.choice(alphabets[k]) for _ in range(4)) for _ in range(30)), k))
-    rows += [(1000, None, "aa"), (1001, "12 34 !!", "bb"), (1002, "", None), (1003, "abc " * 20000, None)]
+    rows += [(1000, None, "aa"), (1001, "12 34 !!", "bb"), (1002, "", None), (1003, " ".join("".join(r.choice(alphabets["aa"]) for _ in range(4)) for _ in range(30000)), None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in lang.predicted_languages(d).collect()}
     assert all(got[i].lang_pred == k for i, _, k in rows[:240]) and len(got) == 244
