@@ -39,8 +39,9 @@ FRAGMENTS = 8
 COMMON, COMMON_MAX = 16, 1 << 20
 #: Members of a sub-bucket of a common shingle, roughly.
 BUCKET = 4096
-#: Star rounds before the exact step, at most; they end when that step would build WORK pairs a posting or fewer.
-ROUNDS, WORK = 6, 16
+#: Star rounds before the exact step: one where any components meet, then more, to ROUNDS at most, until that step builds
+#: WORK pairs a posting or fewer.
+ROUNDS, WORK = 6, 4
 
 
 def head_size(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -223,7 +224,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         live, meet = meeting(comps)
         # Whether the exact step builds few pairs: WORK per posting at most.
         rows, work = meet.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * (F.col("c") - F.col("most"))), F.lit(0))).first()
-        if work <= WORK * rows:
+        if work <= (WORK * rows if turn else 0):
             break
         live = live.join(meet.select("h"), "h")
         # The class that shares most leads; in later turns also of another component each time.
