@@ -118,10 +118,10 @@ def _(t):
     return symbols(t).where(s.substring_match("RED W", "name")).select("id", "name")
 
 
-@query("F04b_gram_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'token')")
+@query("F04b_gram_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'd bolt')")
 def _(t):
-    d = t.documents.select("doc_id", "text")
-    return s.gram_search(d, s.gram_postings(d, "doc_id", "text"), "doc_id", "text", "Token").select("doc_id")
+    d = t.part.select("p_partkey", "p_name")
+    return s.gram_search(d, s.gram_postings(d, "p_partkey", "p_name"), "p_partkey", "p_name", "D Bolt").select("p_partkey")
 
 
 @query("F05_name_prefix", f"SELECT id, name FROM ({SYM}) WHERE starts_with(name, 'small')")
