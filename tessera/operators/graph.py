@@ -7,29 +7,34 @@ empty, comes to the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..iterate import cut
 
+#: So many levels are kept as parts of a union before they are written as one table.
+PARTS = 16
 
-def reach(edges: DataFrame, roots: DataFrame, levels: int, outgoing: bool = True, kinds: Sequence[str] | None = None, stop: DataFrame | None = None) -> DataFrame:
+
+def reach(edges: DataFrame, roots: DataFrame, levels: int | None, outgoing: bool = True, kinds: Sequence[str] | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(root, id, level): breadth-first from every root, each node once at its least level, roots not included.
 
-    ``kinds`` restricts edges; an empty list allows none. ``stop``: (id) of nodes that are reached but not expanded.
+    ``levels`` is the depth of a contract that has one; None walks until no node is new. ``kinds`` restricts edges; an empty list allows none. ``stop``: (id) of nodes that are reached but not expanded.
     """
     e = edges if kinds is None else edges.where(F.col("kind").isin(*kinds)) if kinds else edges.limit(0)
     e = e.select(F.col("src" if outgoing else "dst").alias("id"), F.col("dst" if outgoing else "src").alias("to")).where("id is not null and to is not null").distinct()
     front = roots.select(F.col("id").alias("root"), "id").distinct()
     seen = front.withColumn("level", F.lit(0))
-    for level in range(1, levels + 1):
+    for level in count(1) if levels is None else range(1, levels + 1):
         live = front if stop is None or level == 1 else front.join(stop.select("id"), "id", "left_anti")
         nxt = live.join(e, "id").select("root", F.col("to").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti")
         nxt = cut(nxt)
         if nxt.isEmpty():
             break
         seen = seen.unionByName(nxt.withColumn("level", F.lit(level)))
+        seen = seen if level % PARTS else cut(seen)
         front = nxt
     return seen.where("level > 0")
 
@@ -48,11 +53,11 @@ def closure_pairs(edges: DataFrame, a: str, b: str, levels: int = 20) -> DataFra
     return got.select(F.col("root").alias(a), F.col("id").alias(b), "level")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, levels: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> DataFrame:
     return reach(edges, roots, levels).select("id").distinct()
 
 
-def reverse_closure(depends: DataFrame, roots: DataFrame, covered: DataFrame | None = None, levels: int = 64) -> DataFrame:
+def reverse_closure(depends: DataFrame, roots: DataFrame, covered: DataFrame | None = None, levels: int | None = None) -> DataFrame:
     """(id): the roots and all that depend on them in any number of steps; covered nodes that are no roots are not entered."""
     e = depends.select("src", "dst")
     if covered is not None:
@@ -61,26 +66,26 @@ def reverse_closure(depends: DataFrame, roots: DataFrame, covered: DataFrame | N
     return reach(e, roots, levels, outgoing=False).select("id").unionByName(roots.select("id")).distinct()
 
 
-def cycles(edges: DataFrame, levels: int = 64) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(id): nodes on a cycle, by trimming what has no way in or no way out and then closing what is left."""
     e = edges.select("src", "dst").distinct()
     left = cut(e)
-    for _ in range(levels):
+    while True:
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         kept = cut(kept)
         same = kept.count() == left.count()
         left = kept
         if same:
             break
-    got = _closed(left, levels)
+    got = _closed(left)
     return got.where("src = dst").select(F.col("src").alias("id")).distinct()
 
 
-def _closed(e: DataFrame, levels: int) -> DataFrame:
+def _closed(e: DataFrame) -> DataFrame:
     """All (src, dst) joined by a path, by doubling."""
     pairs = cut(e.distinct())
     size = pairs.count()
-    for _ in range(max(1, levels.bit_length())):
+    while True:
         more = pairs.alias("p").join(pairs.alias("q"), F.col("p.dst") == F.col("q.src")).select(F.col("p.src").alias("src"), F.col("q.dst").alias("dst"))
         pairs = cut(pairs.unionByName(more).distinct())
         now = pairs.count()
@@ -90,7 +95,7 @@ def _closed(e: DataFrame, levels: int) -> DataFrame:
     return pairs
 
 
-def components(edges: DataFrame, nodes: DataFrame, unknown: DataFrame | None = None, levels: int = 64) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
     """(id, comp, final): strongly connected components, named by their least node.
 
     A component is final only if nothing that it reaches is unknown. Nodes that cannot be on a cycle are trimmed first, so
@@ -98,30 +103,31 @@ def components(edges: DataFrame, nodes: DataFrame, unknown: DataFrame | None = N
     """
     ids = nodes.select("id").distinct()
     e = edges.select("src", "dst").distinct()
-    core = cycles(e, levels)
+    core = cycles(e)
     inner = e.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    r = _closed(inner, levels)
+    r = _closed(inner)
     both = r.join(r.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
     comp = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("c"))
     out = ids.join(comp, "id", "left").select("id", F.least(F.col("id"), F.coalesce("c", "id")).alias("comp"))
     if unknown is None:
         return out.withColumn("final", F.lit(True))
-    bad = reverse_closure(e, unknown.select("id"), levels=levels).withColumn("__bad", F.lit(True))
+    bad = reverse_closure(e, unknown.select("id")).withColumn("__bad", F.lit(True))
     bad = out.join(bad, "id").select("comp").distinct().withColumn("__bad", F.lit(True))
     return out.join(bad, "comp", "left").select("id", "comp", F.col("__bad").isNull().alias("final"))
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, levels: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, level): dependencies first (src depends on dst); nodes on or behind a cycle have level null."""
     left = cut(nodes.select("id").distinct())
     e = cut(edges.select("src", "dst").distinct().where("src != dst").unionByName(edges.where("src = dst").select("src", "dst").distinct()))
     out = None
-    for level in range(levels):
+    for level in count():
         ready = cut(left.join(e.select(F.col("src").alias("id")), "id", "left_anti"))
         if ready.isEmpty():
             break
         now = ready.withColumn("level", F.lit(level))
         out = now if out is None else out.unionByName(now)
+        out = out if (level + 1) % PARTS else cut(out)
         left = cut(left.join(ready, "id", "left_anti"))
         e = cut(e.join(ready.withColumnRenamed("id", "dst"), "dst", "left_anti"))
     rest = left.withColumn("level", F.lit(None).cast("int"))

@@ -1,5 +1,6 @@
 """Traps and edge cases on small hand-made rows."""
 
+import inspect
 import random
 
 import pytest
@@ -123,6 +124,20 @@ def test_graph_against_plain_python(spark):
             assert level[i] == (1 + max(level[j] for j in out[i]) if out[i] else 0)
 
 
+def test_graph_walks_have_no_depth_limit(spark):
+    n = 66
+    chain = spark.createDataFrame([(i + 1, i) for i in range(n)], "src int, dst int").coalesce(1)
+    one = spark.createDataFrame([(0,)], "id int").coalesce(1)
+    assert ids(graph.reverse_closure(chain, one)) == list(range(n + 1))
+    assert "levels" not in inspect.signature(graph.topological_levels).parameters
+
+
+def test_long_cycle(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 140) for i in range(140)], "src int, dst int").coalesce(1)
+    got = graph.components(ring, ring.select(F.col("src").alias("id"))).collect()
+    assert len(got) == 140 and {r.comp for r in got} == {0}
+
+
 def test_reverse_closure_skips_covered_but_not_roots(spark):
     e = spark.createDataFrame([(2, 1), (3, 2), (4, 1)], "src int, dst int")
     one = spark.createDataFrame([(1,)], "id int")
