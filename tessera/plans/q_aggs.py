@@ -273,8 +273,8 @@ def _(t):
 _CYC = "SELECT s_suppkey AS src, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 3 ELSE s_suppkey + 1 END AS dst FROM supplier WHERE s_suppkey < 80"
 
 
-def _cyclic(t):
-    return t.supplier.where("s_suppkey < 80").select(F.col("s_suppkey").alias("src"), F.when(F.col("s_suppkey") % 10 == 9, F.col("s_suppkey") - 3).otherwise(F.col("s_suppkey") + 1).alias("dst"))
+def _cyclic(t, which="s_suppkey < 80"):
+    return t.supplier.where(which).select(F.col("s_suppkey").alias("src"), F.when(F.col("s_suppkey") % 10 == 9, F.col("s_suppkey") - 3).otherwise(F.col("s_suppkey") + 1).alias("dst"))
 
 
 @query("G12_cycles", "SELECT s_suppkey AS id FROM supplier WHERE s_suppkey < 80 AND s_suppkey % 10 >= 6")
@@ -301,6 +301,27 @@ def _(t):
     return e.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+_CYC_ALL = "SELECT s_suppkey AS src, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 3 ELSE s_suppkey + 1 END AS dst FROM supplier"
+
+
+@query("G12b_all_cycles", f"WITH RECURSIVE e AS ({_CYC_ALL}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT DISTINCT src AS id FROM r WHERE src = dst")
+def _(t):
+    return g.cycles(_cyclic(t, "true"))
+
+
+@query("G17b_all_strong_components", f"WITH RECURSIVE e AS ({_CYC_ALL}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS (SELECT a.src AS id, min(a.dst) AS c FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT n.id, least(n.id, coalesce(c.c, n.id)) AS comp, n.id <> 37 AND n.id NOT IN (SELECT src FROM r WHERE dst = 37) AS \"final\" FROM n LEFT JOIN c ON c.id = n.id")
+def _(t):
+    e = _cyclic(t, "true")
+    return g.components(e, _nodes(e), t.spark.createDataFrame([(37,)], "id long")).select("id", "comp", "final")
+
+
+@query("G18b_all_overlay_cycles", f"WITH RECURSIVE e AS ({_CYC_ALL}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), o AS (SELECT DISTINCT src FROM r WHERE src = dst) SELECT src, dst FROM e WHERE src IN (SELECT src FROM o) AND dst IN (SELECT src FROM o)")
+def _(t):
+    on = g.cycles(_cyclic(t, "true"))
+    e = _cyclic(t, "true")
+    return e.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 @query("G11_dependency_walk", "SELECT s_nationkey AS g, arg_min(s_suppkey, (level, s_suppkey)) AS winner, count(*)::BIGINT - 1 AS losers FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS level FROM supplier) GROUP BY s_nationkey")
 def _(t):
     from ..operators.layers import first_winner

@@ -60,6 +60,13 @@ def _(t):
     return rel.relationships(edges, sym, t.supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("id")), ["A", "R"])
 
 
+@query("J05b_all_edge_endpoints", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AND l_partkey IN (SELECT p_partkey FROM part UNION SELECT s_suppkey FROM supplier)")
+def _(t):
+    edges = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind"))
+    sym = t.supplier.select(F.col("s_suppkey").alias("id")).unionByName(t.part.select(F.col("p_partkey").alias("id"))).distinct()
+    return rel.relationships(edges, sym, t.supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("id")), ["A", "R"])
+
+
 @query("J06_referencing_artifacts", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name = 'blue bolt')")
 def _(t):
     return rel.referencing(t.lineitem.select("l_orderkey", "l_partkey"), t.part.where("p_name = 'blue bolt'").select(F.col("p_partkey").alias("l_partkey")), "l_orderkey", "l_partkey")
@@ -194,12 +201,28 @@ def _(t):
     return rel.innermost_interval(points, spans, "x", "a", "b", "id", 64)
 
 
+@query(
+    "J19b_all_points_in_intervals",
+    "WITH s AS (SELECT p_partkey AS id, p_partkey * 3 AS a, p_partkey * 3 + p_size + 1 AS b FROM part), p AS (SELECT o_orderkey AS k, o_orderkey % 6000 AS x FROM orders) SELECT k, x, arg_min(id, (b - a, id)) AS id FROM p JOIN s ON a <= x AND x < b GROUP BY k, x",
+)
+def _(t):
+    spans = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3).alias("a"), (F.col("p_partkey") * 3 + F.col("p_size") + 1).alias("b"))
+    points = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 6000).alias("x"))
+    return rel.innermost_interval(points, spans, "x", "a", "b", "id", 64)
+
+
 @query("J20_variant_choice", "SELECT l_orderkey, l_linenumber, l_partkey, v.s_suppkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey < 100) l JOIN (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey) v USING (l_partkey)")
 def _(t):
     variant = ly.first_winner(t.lineitem.select("l_partkey", F.col("l_suppkey").alias("s_suppkey")), ["l_partkey"], "s_suppkey")
     return t.lineitem.where("l_partkey < 100").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(variant, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "s_suppkey")
 
 
+@query("J20b_all_variant_choices", "SELECT l_orderkey, l_linenumber, l_partkey, v.s_suppkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l JOIN (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey) v USING (l_partkey)")
+def _(t):
+    variant = ly.first_winner(t.lineitem.select("l_partkey", F.col("l_suppkey").alias("s_suppkey")), ["l_partkey"], "s_suppkey")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(variant, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "s_suppkey")
+
+
 @query("J21_route_definer", "SELECT p_partkey, CASE WHEN p_size < 10 THEN p_brand WHEN p_type = 'PROMO' THEN 'conflict' WHEN p_partkey % 2 = 0 THEN 'sibling' END AS definer, CASE WHEN p_size < 10 THEN 'own' WHEN p_type = 'PROMO' THEN 'conflict' WHEN p_partkey % 2 = 0 THEN 'sibling' END AS route FROM part")
 def _(t):
     own = t.part.where("p_size < 10").select("p_partkey", F.col("p_brand").alias("definer"))

@@ -44,6 +44,12 @@ def _(t):
     return sink.latest_alias(a, "path", "version").select("path", "version")
 
 
+@query("K04b_all_path_aliases", "SELECT l_partkey AS path, max(l_orderkey * 10 + l_linenumber) AS version FROM lineitem GROUP BY l_partkey")
+def _(t):
+    a = t.lineitem.select(F.col("l_partkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"), "l_suppkey")
+    return sink.latest_alias(a, "path", "version").select("path", "version")
+
+
 @query("K05_code_edge_generation", "SELECT l_suppkey AS src, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey")
 def _(t):
     store = sink.Generations(t.spark, _own(t, "code"))
@@ -70,6 +76,12 @@ def _(t):
     return sink.sweep(o, o.where("o_orderkey % 2 = 0"), "o_orderkey", "o_custkey", True)[1]
 
 
+@query("K08b_whole_inventory_sweep", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING bool_and(o_orderkey % 2 <> 0)")
+def _(t):
+    o = t.orders.select("o_orderkey", "o_custkey")
+    return sink.sweep(o, o.where("o_orderkey % 2 = 0"), "o_orderkey", "o_custkey", True)[1]
+
+
 @query("K09_semantic_postings", "SELECT 'dep' AS posting, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'prefix', count(*)::BIGINT FROM (SELECT DISTINCT p_brand, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 UNION SELECT DISTINCT p_brand || '.' || p_type, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45)")
 def _(t):
     rows = t.lineitem.where("l_quantity > 45").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
@@ -135,12 +147,24 @@ def _(t):
     return subscribed.join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("T04b_all_maintained_observations", "SELECT c_custkey, count(o_orderkey)::BIGINT AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def _(t):
+    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return t.customer.select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("T05_incomplete_scan_keeps", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 8000")
 def _(t):
     o = t.orders.select("o_orderkey", "o_custkey").where("o_orderkey < 8000")
     return sink.sweep(o, o.where("o_orderkey >= 4000"), "o_orderkey", "o_custkey", False)[0]
 
 
+@query("T05b_whole_incomplete_scan_keeps", "SELECT o_orderkey, o_custkey FROM orders")
+def _(t):
+    o = t.orders.select("o_orderkey", "o_custkey")
+    return sink.sweep(o, o.where("o_orderkey % 2 = 0"), "o_orderkey", "o_custkey", False)[0]
+
+
 @query("T07_version_order", "SELECT user_id, count(*)::BIGINT AS n FROM (SELECT user_id, event_id, max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR event_id > before GROUP BY user_id")
 def _(t):
     from pyspark.sql import Window
