@@ -10,7 +10,8 @@ A shingle's weight is ln(1 + items / items that hold it), so wording that many i
 fingerprints differ by 11 bits on average, standard deviation 3; the radius of 22 is 3.6 deviations away.
 
 The benchmark is the stated query set: it is gathered in blocks of ``BLOCK_ITEMS`` items and each block is broadcast, so
-the tables have a fixed size whatever the benchmark's. Documents are never shuffled.
+the tables of fingerprints have a fixed size whatever the benchmark's. Weights are counted once over the items of all
+blocks, so results don't depend on the blocks; that table grows with the query set. Documents are never shuffled.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null, empty or wordless items and texts match
 nothing. Items or texts below five words are one shingle, the whole. A document shorter than an item is one window.
@@ -66,21 +67,34 @@ class HammingIndex:
         return q[near], i[near]
 
 
+class Weights:
+    """Weights of shingles over the items of all blocks."""
+
+    def __init__(self, blocks: list[list[np.ndarray]]):
+        held = Counter(int(h) for block in blocks for s in block for h in set(s.tolist()))
+        items = sum(map(len, blocks))
+        self.of = {h: math.log(1 + items / c) for h, c in held.items()}
+        self.rare = math.log(1 + items)
+        self.keys = np.array(sorted(held), U)
+        self.values = np.array([self.of[int(h)] for h in self.keys])
+
+
+def _items(ids: list[int], texts: list[str]) -> list[tuple[int, np.ndarray]]:
+    """(id, word hashes) of the items with a word."""
+    words = [word_hashes([t.encode("utf-8", "surrogatepass")])[0] for t in texts]
+    return [(i, w) for i, w in zip(ids, words, strict=True) if len(w)]
+
+
 class Benchmark:
     """One block of items, ready for lookup."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int = K):
+    def __init__(self, kept: list[tuple[int, np.ndarray]], shingles: list[np.ndarray], weights: Weights, k: int = K):
         self.k = k
-        words = [word_hashes([t.encode("utf-8", "surrogatepass")])[0] for t in texts]
-        kept = [(i, w) for i, w in zip(ids, words, strict=True) if len(w)]
         self.ids = [i for i, _ in kept]
         self.sizes = np.array([len(w) for _, w in kept], np.int64)
-        self.shingles = [_hashes(w, k) for _, w in kept]
-        held = Counter(int(h) for s in self.shingles for h in set(s.tolist()))
-        self.weights = {h: math.log(1 + len(kept) / c) for h, c in held.items()}
-        self.rare = math.log(1 + len(kept))
-        self.keys = np.array(sorted(held), U)
-        self.values = np.array([self.weights[int(h)] for h in self.keys])
+        self.shingles = shingles
+        self.all, self.weights, self.rare = weights, weights.of, weights.rare
+        self.keys = np.unique(np.concatenate([*shingles, np.empty(0, U)]))
         by: dict[int, set[int]] = {}
         for n, s in zip(self.sizes.tolist(), self.shingles, strict=True):
             for h in s.tolist():
@@ -101,8 +115,9 @@ class Benchmark:
         return at[self.keys[spot] == h[at]]
 
     def weight(self, h: np.ndarray) -> np.ndarray:
-        spot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[spot] == h, self.values[spot], self.rare)
+        keys = self.all.keys
+        spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[spot] == h, self.all.values[spot], self.rare)
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of two multisets of shingles."""
@@ -200,7 +215,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
 
 
 def _ready(blocks, k: int) -> list[Benchmark]:
-    return [b for b in (Benchmark(ids, texts, k) for ids, texts in blocks) if b.ids]
+    kept = [b for b in (_items(ids, texts) for ids, texts in blocks) if b]
+    shingles = [[_hashes(w, k) for _, w in b] for b in kept]
+    weights = Weights(shingles)
+    return [Benchmark(b, s, weights, k) for b, s in zip(kept, shingles, strict=True)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K) -> DataFrame:

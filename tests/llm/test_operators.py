@@ -320,3 +320,18 @@ def test_best_region_is_maximal():
         v = [w.word["p"] * x[2] if x[1] else w.tag["p"] for x in t]
         a, b = page.best_region(t, w)
         assert abs(sum(v[a:b]) - max(0, max(sum(v[i:j]) for i in range(12) for j in range(i + 1, 13)))) < 1e-9
+
+
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    shared = words(70, 12)
+    items = [words(300 + i, 14) + shared for i in range(7)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    near = [[*w[:2], "changed", *w[3:]] for w in items]
+    d = docs(spark, [" ".join(words(400 + i, 30) + w) for i, w in enumerate(items + near)])
+
+    def found(size):
+        monkeypatch.setattr(dec, "BLOCK_ITEMS", size)
+        return sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word) for r in dec.find_leaks(d, bench).collect())
+
+    one = found(4096)
+    assert found(4) == one and found(3) == one and {(i, i) for i in range(7)} <= {x[:2] for x in one}
