@@ -6,6 +6,11 @@ alignment, as the longest increasing subsequence of their positions; the gaps be
 with words that are unique inside the gap; equal words at a gap's ends are taken first. Coverage is the share of the
 template's words that align; from ``LEAST`` on the license counts as found.
 
+A run is a stretch of hits without a gap wider than the template. A step back in the template may start another copy or
+come from a stray phrase: pieces between such steps are aligned first; what is in no found copy is joined again from the
+smallest steps to the largest, aligned as one, and a copy found is taken out, until nothing reaches ``LEAST``. A run
+whose words can't cover ``LEAST`` of the template, in whatever order, isn't aligned.
+
 Only texts with shingles of a template are aligned, and only around these, so a pass costs one hash per word. Templates
 are a parameter of fixed size, and no document is shuffled. Where one run fits several templates, those that only cover a
 part of another one's words there give way.
@@ -98,6 +103,7 @@ class Library:
         self.names = sorted(templates)
         self.words = [word_hashes([templates[n].encode().translate(_WORDS)])[0] for n in self.names]
         self.lists = [w.tolist() for w in self.words]
+        self.bags = [Counter(x) for x in self.lists]
         held = [window_hashes(w, SHINGLE) for w in self.words]
         self.keys = np.unique(np.concatenate([*held, np.empty(0, U)]))
         self.of = [set(h.tolist()) for h in held]
@@ -113,6 +119,58 @@ class Library:
         spot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         return at[self.keys[spot] == h[at]]
 
+    def align(self, k: int, words: np.ndarray, hits: list[int], lo: int = 0, hi: int | None = None) -> tuple | None:
+        """The copy of template ``k`` around ``hits``, within words lo to hi; None below LEAST."""
+        size = len(self.lists[k])
+        # a few words on both sides may align that are in no common shingle
+        lo, hi = max(lo, hits[0] - size // 8 - 1), min(len(words) if hi is None else hi, hits[-1] + SHINGLE + size // 8 + 1)
+        own = words[lo:hi].tolist()
+        have = Counter(own)
+        if sum(min(n, have[w]) for w, n in self.bags[k].items()) < LEAST * size:
+            return None
+        pairs = [(i + lo, j) for i, j in patience(own, self.lists[k])]
+        if len(pairs) < LEAST * size:
+            return None
+        return k, len(pairs) / size, pairs[0][0], pairs[-1][0] + 1, len(pairs)
+
+    def copies(self, k: int, words: np.ndarray, pieces: list[tuple[int, list[int]]]) -> list[tuple]:
+        """Copies of template ``k`` in one run: those of single pieces, then of what is left between them, joined."""
+        size, hits = len(self.lists[k]), [p for _, own in pieces for p in own]
+        have = Counter(words[max(0, hits[0] - size // 8 - 1) : hits[-1] + SHINGLE + size // 8 + 1].tolist())
+        if sum(min(n, have[w]) for w, n in self.bags[k].items()) < LEAST * size:
+            return []
+        found = [x for _, own in pieces if (x := self.align(k, words, own))]
+        # pieces outside the copies found, in stretches between these; each stretch is joined over its least steps first
+        todo, at = [], 0
+        for x in [*found, None]:
+            lo, hi = (found[at - 1][3] if at else 0), (x[2] if x else len(words))
+            todo.append((lo, hi, [(step, own) for step, all_ in pieces if (own := [p for p in all_ if lo <= p and p + SHINGLE <= hi])]))
+            at += 1
+        for lo, hi, left in todo:
+            if len(left) > 1:
+                found += self.joined(k, words, left, lo, hi)
+        return found
+
+    def joined(self, k: int, words: np.ndarray, left: list[tuple[int, list[int]]], lo: int, hi: int) -> list[tuple]:
+        """Copies of several pieces each: both sides of the largest step back first, then what is left, as one."""
+        if len(left) < 2:
+            return []
+        size, hits = len(self.lists[k]), [p for _, own in left for p in own]
+        have = Counter(words[max(lo, hits[0] - size // 8 - 1) : min(hi, hits[-1] + SHINGLE + size // 8 + 1)].tolist())
+        if sum(min(n, have[w]) for w, n in self.bags[k].items()) < LEAST * size:
+            return []
+        cut = max(range(1, len(left)), key=lambda i: (left[i][0], -abs(2 * i - len(left))))
+        found = sorted(self.joined(k, words, left[:cut], lo, hi) + self.joined(k, words, left[cut:], lo, hi), key=lambda x: x[2])
+        edges = [lo, *(e for x in found for e in (x[2], x[3])), hi]
+        todo = list(zip(edges[::2], edges[1::2], strict=True))
+        while todo:
+            a, b = todo.pop()
+            own = [p for p in hits if a <= p and p + SHINGLE <= b]
+            if len(own) > 1 and (x := self.align(k, words, own, a, b)):
+                found.append(x)
+                todo += [(a, x[2]), (x[3], b)]
+        return found
+
     def scan(self, words: np.ndarray, h: np.ndarray) -> list[tuple[int, float, int, int, int]]:
         """(template, coverage, first word, end word, aligned words) of one text's licenses."""
         at = self.known(h)
@@ -120,24 +178,22 @@ class Library:
         for k, own in enumerate(self.of):
             hits = [p for p in at.tolist() if int(h[p]) in own]
             size = len(self.lists[k])
-            runs: list[list[int]] = []
-            last = -1
+            #: Pieces of the runs, each with the step back in the template before it.
+            runs: list[list[tuple[int, list[int]]]] = []
+            last, before = -1, None
             for p in hits:
                 spot = self.place[k].get(int(h[p]), last + 1)
-                # a wide gap, or a step back in the template, starts another copy of the license
-                if runs and p - runs[-1][-1] <= size and spot > last:
-                    runs[-1].append(p)
+                if before is None or p - before > size:
+                    runs.append([(0, [p])])
+                elif spot > last:
+                    runs[-1][-1][1].append(p)
                 else:
-                    runs.append([p])
-                last = self.place[k].get(int(h[p]), last)
-                if runs[-1] == [p] and int(h[p]) not in self.place[k]:
+                    runs[-1].append((last - spot, [p]))
+                last, before = self.place[k].get(int(h[p]), last), p
+                if runs[-1][-1][1] == [p] and int(h[p]) not in self.place[k]:
                     last = -1
             for run in runs:
-                # a few words on both sides may align that are in no common shingle
-                lo, hi = max(0, run[0] - size // 8 - 1), min(len(words), run[-1] + SHINGLE + size // 8 + 1)
-                pairs = [(i + lo, j) for i, j in patience(words[lo:hi].tolist(), self.lists[k])]
-                if size and len(pairs) / size >= LEAST:
-                    found.append((k, len(pairs) / size, pairs[0][0], pairs[-1][0] + 1, len(pairs)))
+                found += self.copies(k, words, run)
         found.sort(key=lambda x: (-x[4], -x[1], self.names[x[0]]))
         kept: list = []
         for x in found:

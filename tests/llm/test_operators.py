@@ -335,3 +335,13 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
 
     one = found(4096)
     assert found(4) == one and found(3) == one and {(i, i) for i in range(7)} <= {x[:2] for x in one}
+
+
+def test_stray_phrases_do_not_split_a_license(spark):
+    apache = lic.TEMPLATES["Apache-2.0"].split()
+    half = len(apache) // 2
+    stray = "As the other file says, see the License for the specific language governing it.".split()
+    one = " ".join([*apache[:half], *stray, *apache[half:]])
+    texts = [f"before {one} after", f"before {one} between them {one} after", f"a {' '.join(apache)} b {one} c {' '.join(apache)} d", "see the License for the specific language. " * 200]
+    got = [(r.doc_id, r.license_id) for r in lic.scan_licenses(docs(spark, texts)).orderBy("doc_id", "first_word").collect()]
+    assert got == [(0, "Apache-2.0"), *[(1, "Apache-2.0")] * 2, *[(2, "Apache-2.0")] * 3]
