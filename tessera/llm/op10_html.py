@@ -3,7 +3,8 @@
 A page is a sequence of words and tags. Words score by the element they stand in, tags score below zero; the weights are
 learned from labelled pages (those whose own marks, such as ``article`` or ``main``, say where the content is), blended
 with a prior. One linear scan finds the contiguous region with the largest sum. Blocks of the region that stand in an
-element that is no article text (navigation, header and footer, sidebar, notice, advert, form, comments) are left out.
+element that is no article text (navigation, header and footer, sidebar, notice, advert, form, comments) are left out;
+their words and tags count 0 in the scan, so they don't split the region.
 
 Weights are fitted on about ``TRAIN_ROWS`` pages chosen by a hash of their id; extraction reads every whole page once,
 with one pass and a stack of open containers, and shuffles nothing.
@@ -156,7 +157,8 @@ class Weights:
                 scale = min(1.0, PRIOR / max(inside + outside, 1))
                 p = (p * PRIOR + inside * scale) / (PRIOR + (inside + outside) * scale)
                 table[k] = max(0.0, 1 + math.log(p / (1 - p)) / 3) if is_word else min(-0.1, -1 + math.log(p / (1 - p)) / 3)
-        self.word["apart"] = 0.0
+        # what stands apart is cut from the output anyway, so it doesn't split the content around it
+        self.word["apart"] = self.tag["apart"] = 0.0
         self.word.setdefault("inline", self.word["div"])
 
 

@@ -345,3 +345,10 @@ def test_stray_phrases_do_not_split_a_license(spark):
     texts = [f"before {one} after", f"before {one} between them {one} after", f"a {' '.join(apache)} b {one} c {' '.join(apache)} d", "see the License for the specific language. " * 200]
     got = [(r.doc_id, r.license_id) for r in lic.scan_licenses(docs(spark, texts)).orderBy("doc_id", "first_word").collect()]
     assert got == [(0, "Apache-2.0"), *[(1, "Apache-2.0")] * 2, *[(2, "Apache-2.0")] * 3]
+
+
+def test_navigation_in_an_article_does_not_split_it():
+    links = "".join(f"<li><a href='#{i}'>Part {i}</a></li>" for i in range(30))
+    html = f"<body><article><h1>A short headline</h1><p>One opening line.</p><aside><ul>{links}</ul></aside><p>{'body words go on ' * 50}</p><form>{'<p>x</p>' * 60}</form><p>The end.</p></article></body>"
+    got = page.extract(html, page.Weights()).split("\n")
+    assert got == ["A short headline", "One opening line.", ("body words go on " * 50).strip(), "The end."]
