@@ -124,6 +124,12 @@ def _(t):
     return s.gram_search(d, s.gram_postings(d, "p_partkey", "p_name"), "p_partkey", "p_name", "D Bolt").select("p_partkey")
 
 
+@query("F04c_gram_search_texts", "SELECT doc_id FROM documents WHERE contains(lower(text), 'token')")
+def _(t):
+    d = t.documents.select("doc_id", "text")
+    return s.gram_search(d, s.gram_postings(d, "doc_id", "text"), "doc_id", "text", "Token").select("doc_id")
+
+
 @query("F05_name_prefix", f"SELECT id, name FROM ({SYM}) WHERE starts_with(name, 'small')")
 def _(t):
     return symbols(t).where(F.col("name").startswith("small")).select("id", "name")
