@@ -20,23 +20,45 @@ CHUNK_BYTES = 1 << 19
 BROADCAST_ROWS = 1_000_000
 
 
+#: Removes an execution's shuffle files when it ends, instead of whenever the driver collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``, or else that of the context.
+
+    Where neither is set, a local master gets a temporary one; on a cluster there is none that all would share.
+    """
     sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    found = sc._jsc.sc().getCheckpointDir()
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (found.get() if found.isDefined() else None)
     if not known:
-        found = sc._jsc.sc().getCheckpointDir()
-        known = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    if not found.isDefined():
         sc.setCheckpointDir(known)
     return known
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table in the shared checkpoint folder and reads it from there: lost executors don't undo it."""
+    """Writes ``df`` as a table in the shared checkpoint folder and reads it from there: lost executors don't undo it.
+
+    The shuffles behind it go at once; the table goes with ``drop``, or at the latest when the driver ends.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, "cut")
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -46,18 +68,22 @@ def drop(*tables: DataFrame | None) -> None:
     """Deletes tables that ``cut`` wrote and that nothing reads any more."""
     for t in tables:
         if t is not None and getattr(t, "_cut_path", None):
-            jvm = t.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(t._cut_path)
-            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            remove(t.sparkSession, t._cut_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see that finished shuffles have no reader any more."""
-    spark.sparkContext._jvm.System.gc()
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``fresh_dir`` named."""
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder; that part is deleted when the driver ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    at, fs = _file_system(spark, own)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

@@ -1,17 +1,23 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 Every document is the set of its distinct 5-word shingles (64-bit hashes). All shingles have one global order: rare ones
-before common ones, then by hash. The order is cut into fragments:
+before common ones, by powers of two of their counts, then by hash. The order is cut into fragments:
 
 * the *head* of a document, the first ``n - ceil(0.75 n) + 1`` shingles: two documents that link share one of these;
 * the *body*, cut by hash value into ``FRAGMENTS`` vertical partitions. For each candidate pair the overlap of every
   partition is counted separately, and the partial counts are summed per pair. No task needs two whole sets.
 
-Documents with equal sets are one class before anything is joined, so copies cost one row. Candidates come from rounds:
-in each head bucket the member that shares most leads and is compared with the others; found links merge components. The
-last step is exact: whatever two components still meet in a bucket is counted pair by pair, first over the head (with the
-bound that the head count gives for the whole), then over the body. So no link between components is lost, and the many
-pairs inside one component are never built. A bucket of a common shingle is dealt to sub-buckets by a salt.
+Documents with equal sets are one class before anything is joined, so copies cost one row. A shingle at place p of n
+leaves n - p shingles from it on. At the first shingle that a linking pair shares, both leave at least
+num (na + nb) / (num + den), what such a pair shares in all; so only postings that leave enough are compared, and of the
+smaller set only its first n - ceil(6 n / 7) + 1 shingles are looked up. Pairs come in two steps:
+
+* star rounds: in each bucket, of a shingle and a band of sizes, the class with the fewest shingles before it leads and is
+  compared with the others; found links merge components, so that a group of copies becomes one component by as many
+  comparisons as it has members;
+* the exact rest: whatever two components still meet in a bucket is compared pair by pair, first by the overlap of the
+  heads (with the bound that it gives for the whole), then by the bodies. No link between components is lost, and the
+  pairs inside a component are never built: members of a bucket's largest component are joined with the others only.
 
 Defined results: null or wordless texts have an empty set and component_id = doc_id. A row with null doc_id gets its
 n_shingles, and null component_id, and links nothing. Repeated rows appear as often as they come in. Only
@@ -25,24 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U, as_long, chunks, cut, drop, mix, release, shingle_sets
+from .common import BROADCAST_ROWS, U, as_long, chunks, cut, drop, mix, shingle_sets
 from .components import connected_components
 
 #: Words of a shingle, and the similarity as a fraction.
 N, NUM, DEN = 5, 75, 100
 #: Vertical partitions of the body.
 FRAGMENTS = 8
-#: A shingle is common from so many occurrences on, as seen in batches; at most COMMON_MAX shingles are held as common.
-COMMON, COMMON_MAX = 16, 1 << 20
-#: Members of a sub-bucket of a common shingle, roughly.
-BUCKET = 4096
-#: Star rounds before the exact step: one where any components meet, then more, to ROUNDS at most, until that step builds
-#: WORK pairs a posting or fewer.
-ROUNDS, WORK = 6, 4
-
+#: A shingle is common from so many occurrences on; at most COMMON_MAX shingles are held as common. Those with a hash below
+#: COUNTED, which come first in the order of the rare ones, are counted exactly, others as far as batches show them.
+COMMON, COMMON_MAX, COUNTED = 16, 1 << 20, 1 << 62
+#: Star rounds before the exact step: one where any components meet, then more, to ROUNDS at most, as long as that step
+#: would look at more than WORK pairs a posting and the round before found links among one in YIELD of its pairs.
+ROUNDS, WORK, YIELD = 6, 4, 8
+#: Ratio of sizes in a band of the exact step.
+BAND = 1.1
 
 def head_size(n: np.ndarray | int, num: int = NUM, den: int = DEN):
     """Shingles that must be compared so that no pair of the similarity is missed."""
@@ -56,12 +62,12 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 
 
 def _common(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(h, c): shingles that come at least three times within about two million."""
+    """(h, c): of about two million at a time the shingles with a hash below COUNTED, and others that come three times."""
     held, total = [], 0
 
     def counted():
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        keep = c >= 3
+        keep = (c >= 3) | (h < U(COUNTED))
         return pa.RecordBatch.from_arrays([pa.array(as_long(h[keep])), pa.array(c[keep].astype(np.int64))], ["h", "c"])
 
     for _, _, sets in _sets(batches, n):
@@ -77,7 +83,7 @@ def _common(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 def common_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the commonest shingles, COMMON_MAX at most.
 
-    It only sets the global order and the salts: any set gives the same links, so the bound costs speed alone.
+    It only sets the global order: any set gives the same links, so the bound costs speed alone.
     """
     found = docs.select(text_col).mapInArrow(lambda it: _common(it, n), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
     found = cut(found)
@@ -96,33 +102,26 @@ def common_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray,
 
 
 def _heads(batches: Iterator[pa.RecordBatch], n: int, common, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(id, n, s1, s2, head, salt): size, 128-bit signature, head shingles, and their salts (null where all are 0)."""
+    """(id, n, s1, s2, head): size, 128-bit signature, and head shingles in the global order."""
     known, counts = common.value
-    salts = np.maximum(1, counts // BUCKET).astype(U)
+    power = np.floor(np.log2(np.maximum(1, counts))).astype(np.int8)
     for batch, start, sets in _sets(batches, n):
         sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
-        hot = np.zeros(len(every), bool)
-        ways = np.ones(len(every), U)
+        rank = np.zeros(len(every), np.int8)
         if len(known):
             at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-            hot = known[at] == every
-            ways[hot] = salts[at[hot]]
+            rank = np.where(known[at] == every, power[at], 0)
         stop = np.cumsum(sizes)
         s1, s2 = signatures(sets)
-        heads, turns = [], []
-        for i, (m, e) in enumerate(zip(sizes.tolist(), stop.tolist(), strict=True)):
-            own, is_hot = every[e - m : e], hot[e - m : e]
-            size = head_size(m, num, den) if m else 0
-            rare = own[~is_hot][:size]
-            late = own[is_hot][: size - len(rare)]
-            heads.append(np.concatenate([rare, late]))
-            turn = mix(late ^ s1[i]) % ways[e - m : e][is_hot][: len(late)]
-            turns.append([0] * len(rare) + turn.tolist() if turn.any() else None)
+        heads = []
+        for m, e in zip(sizes.tolist(), stop.tolist(), strict=True):
+            order = np.argsort(rank[e - m : e], kind="stable")
+            heads.append(every[e - m : e][order[: head_size(m, num, den) if m else 0]])
         ids = batch.column(0).slice(start, len(sets))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(np.concatenate(heads))))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(as_long(s1)), pa.array(as_long(s2)), lists, pa.array(turns, pa.list_(pa.int32()))], ["id", "n", "s1", "s2", "head", "salt"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(as_long(s1)), pa.array(as_long(s2)), lists], ["id", "n", "s1", "s2", "head"])
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,155 +131,201 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(id, s1, s2, part, body): the set's vertical partitions."""
+    """(cid, part, body): a set's vertical partitions, of rows (cid, s1, s2, text) whose text has that signature."""
     shift = U(64 - int(math.log2(FRAGMENTS)))
     for batch, start, sets in _sets(batches, n):
-        ids = batch.column(0).slice(start, len(sets)).to_pylist()
-        out = [[], [], [], [], []]
+        cids, *wanted = (batch.column(k).slice(start, len(sets)).to_pylist() for k in range(3))
+        out = [[], [], []]
         sigs = zip(*(as_long(x).tolist() for x in signatures(sets)), strict=True)
-        for i, sig, own in zip(ids, sigs, sets, strict=True):
+        for cid, sig, want, own in zip(cids, sigs, zip(*wanted, strict=True), sets, strict=True):
+            if sig != want:  # another text under the same id
+                continue
             at = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1).astype(U))
             for k in range(FRAGMENTS):
                 if at[k] < at[k + 1]:
-                    for col, v in zip(out, (i, *sig, k, as_long(own[at[k] : at[k + 1]])), strict=True):
+                    for col, v in zip(out, (cid, k, as_long(own[at[k] : at[k + 1]])), strict=True):
                         col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["id", "s1", "s2", "part", "body"])
-
-
-def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes those that link: partial overlaps per vertical partition, summed per pair."""
-    used = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    need = cut(used.join(classes.select("cid", "rep", "s1", "s2", "n"), "cid"))
-    rows = need.count()
-    small = F.broadcast if rows <= BROADCAST_ROWS else (lambda x: x)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(need.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-    body = texts.mapInArrow(lambda it: _bodies(it, n), "id long, s1 long, s2 long, part int, body array<long>")
-    body = body.join(small(need.withColumnRenamed("rep", "id")), ["id", "s1", "s2"]).groupBy("cid", "part").agg(F.first("body").alias("body"), F.first("n").alias("n"))
-    body = cut(body)
-    left = body.select(F.col("cid").alias("a"), "part", F.col("body").alias("xa"))
-    right = body.select(F.col("cid").alias("b"), "part", F.col("body").alias("xb"))
-    part = pairs.select("a", "b").join(right, "b").join(left, ["a", "part"]).select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("o"))
-    whole = part.groupBy("a", "b").agg(F.sum("o").alias("o"))
-    n_of = need.select("cid", "n")
-    whole = whole.join(small(n_of.select(F.col("cid").alias("a"), F.col("n").alias("na"))), "a").join(small(n_of.select(F.col("cid").alias("b"), F.col("n").alias("nb"))), "b")
-    links = cut(whole.where(F.lit(den) * F.col("o") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o"))
-    drop(need, body)
-    return links
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["cid", "part", "body"])
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to broadcast if it has BROADCAST_ROWS or fewer; else the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): one row per row of ``docs``; see the module's text."""
-    spark = docs.sparkSession
-    held = common_shingles(docs, text_col, n)
-    common = spark.sparkContext.broadcast(held)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _heads(it, n, common, num, den), "id long, n long, s1 long, s2 long, head array<long>, salt array<int>")
-    sized = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    classes = sized.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row")).alias("x")).select("s1", "s2", "n", F.col("x.id").alias("rep"), F.col("x.row").alias("cid"))
-    classes = cut(classes)
-
-    # Head postings of one row a class, dealt by shingle once; those that no other class has go.
-    one = sized.select(F.col("row").alias("cid"), "head", "salt").join(classes.select("cid"), "cid")
-    heads, sized = sized, cut(sized.select("id", "n", "s1", "s2"))
-    item = F.explode(F.arrays_zip("head", F.coalesce("salt", F.array().cast("array<int>")).alias("salt"))).alias("x")
-    post = one.select("cid", item).select("cid", F.col("x.head").alias("h"), F.coalesce("x.salt", F.lit(0)).alias("salt"))
-    post = post.repartition("h")
-    often = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    post = cut(post.join(often, "h").select("cid", "h", F.when(F.col("salt") == 0, F.col("h")).otherwise(F.xxhash64("h", "salt")).alias("k")))
-    drop(heads)
-    del one, heads
-    release(spark)
-    shared = post.groupBy("cid").agg(F.count("*").alias("shared")).join(classes.select("cid", "n"), "cid")
-    rank = cut(shared.select("cid", "n", (F.col("shared") / (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)).alias("share")))
-
-    def merged(found: DataFrame | None) -> DataFrame:
-        """Postings with size, share and the component their class is in so far."""
-        known = rank.withColumn("comp", F.col("cid"))
-        if found is not None:
-            known = rank.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        return post.join(known, "cid")
-
-    def can_link(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb, o) whose common head shingles, o, let them link.
-
-        A pair that links shares num (na + nb) / (num + den) shingles. Of two heads one ends first in the order; what
-        its document shares beyond that head is in its tail.
+    return _Join(docs, id_col, text_col, n, num, den).run()
+
+
+class _Join:
+    """One join: tables of classes (cid, rep, s1, s2, n) and postings (h, cid, n, p, i, use), and what links them so far."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int):
+        self.n, self.num, self.den = n, num, den
+        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        self.edges: list[DataFrame] = []
+        self.comps: DataFrame | None = None
+
+    def run(self) -> DataFrame:
+        self.prepare()
+        live, count, work = self.meeting()
+        for turn in range(ROUNDS):
+            if work <= (WORK * count if turn else 0):
+                break
+            pairs, links = self.merge(self.star(live, turn))
+            if not links:
+                break
+            drop(live)
+            live, count, work = self.meeting()
+            if links * YIELD < pairs:
+                break
+        self.merge(self.rest(live))
+        drop(live, self.post)
+        return self.result()
+
+    def prepare(self) -> None:
+        n, num, den = self.n, self.num, self.den
+        sc = self.docs.sparkSession.sparkContext
+        common = sc.broadcast(common_shingles(self.docs, "text", n))
+        rows = self.docs.mapInArrow(lambda it: _heads(it, n, common, num, den), "id long, n long, s1 long, s2 long, head array<long>")
+        whole = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+        common.unpersist()
+        wordy = whole.where("n > 0 and id is not null")
+        # rows whose set another row has too, but for the first of each
+        first = wordy.groupBy("s1", "s2", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "row")).alias("x")).where("c > 1").select("s1", "s2", "n", F.col("x.row").alias("first"))
+        copies = cut(wordy.select("s1", "s2", "n", "id", "row").join(first, ["s1", "s2", "n"]).where("row != first").select("row", "id", "s1", "s2"))
+        self.repeated = not cut(wordy.groupBy("id", "s1", "s2").count().where("count > 1")).isEmpty()
+        one = wordy.join(few(copies.select("row"), copies.count()), "row", "left_anti").withColumnRenamed("row", "cid")
+        self.classes = cut(one.select("cid", F.col("id").alias("rep"), "s1", "s2", "n"))
+        # postings of the heads, one row a class, of shingles that at least two classes have; i: whether a smaller set looks
+        # it up, use: whether any class does
+        index = F.lit(num + den) * (F.col("n") - F.col("p")) >= F.lit(2 * num) * F.col("n")
+        post = one.select("cid", "n", F.posexplode("head").alias("p", "h")).withColumn("i", index)
+        often = post.groupBy("h").agg(F.count("*").alias("c"), F.max("i").alias("use")).where("c > 1").select("h", "use")
+        self.post = cut(post.join(often, "h").select("h", "cid", "n", "p", "i", "use"))
+        self.sized = cut(whole.select("id", "n", "s1", "s2"))
+        drop(whole, copies)
+
+    def fits(self) -> Column:
+        """Whether x and y have similar sizes and each leaves, from its place on, what they share if they link."""
+        num, den, c = F.lit(self.num), F.lit(self.den), F.col
+        both = c("x.n") + c("y.n")
+        enough = lambda s: (num + den) * (c(f"{s}.n") - c(f"{s}.p")) >= num * both
+        return (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & enough("x") & enough("y")
+
+    def meeting(self) -> tuple[DataFrame, int, int]:
+        """(postings of shingles where components meet, with comp and big, the shingle's largest; their number; the pairs that the exact step would look at)."""
+        post = self.post.where("use").drop("use")
+        known = post.withColumn("comp", F.col("cid")) if self.comps is None else post.join(self.comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        sizes = known.groupBy("h", "comp").agg(F.count("*").alias("m"), F.count_if("i").alias("looked"))
+        met = sizes.groupBy("h").agg(F.max_by(F.struct("comp", "m"), F.struct("m", "comp")).alias("big"), F.sum("m").alias("c"), F.sum("looked").alias("looked")).where("big.m < c and looked > 0")
+        live = cut(known.join(met.select("h", F.col("big.comp").alias("big")), "h"))
+        small, large = self.sides(live)
+        counted = small.select("h", "band", "side", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(large.select("h", "band", "side", F.lit(0).alias("a"), F.lit(1).alias("b")))
+        work = cut(counted.groupBy("h", "band", "side").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("work")))
+        found = live.count(), work.first().work
+        drop(work)
+        return live, *found
+
+    def sides(self, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The exact step's two sides by (h, band, side): smaller sets that look a shingle up, and those that they may meet.
+
+        The band is that of the smaller size; a larger set is in the bands of all sizes that it can link with from its place
+        on. Members of a shingle's largest component (side 1) meet the other members only.
         """
-        tail = lambda c: F.floor((F.col(c) * num + (den - 1)) / den) - 1
-        return pairs.where((F.col("o") + F.greatest(tail("na"), tail("nb"))) * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _counted(pairs, docs, classes, id_col, text_col, n, num, den)
-
-    def meeting(found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(postings so far, shingles where components meet): of each its largest component and two counts of postings."""
-        live = merged(found)
-        sizes = live.groupBy("h", "comp").agg(F.count("*").alias("m"))
-        met = sizes.groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("c"), F.max("m").alias("most"))
-        return live, met.where("most < c")
-
-    comps = edges = None
-    for turn in range(ROUNDS):
-        live, meet = meeting(comps)
-        # Whether the exact step builds few pairs: WORK per posting at most.
-        rows, work = meet.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * (F.col("c") - F.col("most"))), F.lit(0))).first()
-        if work <= (WORK * rows if turn else 0):
-            break
-        live = live.join(meet.select("h"), "h")
-        # The class that shares most leads; in later turns also of another component each time.
-        order = F.struct(F.round("share", 1), -F.xxhash64("comp", F.lit(turn)), -F.col("cid")) if turn else F.struct(F.round("share", 1), -F.col("cid"))
-        lead = live.groupBy("k").agg(F.max_by(F.struct("cid", "n", "comp"), order).alias("lead"))
-        pairs = live.join(lead, "k").where("comp != lead.comp").where(F.lit(den) * F.least("n", "lead.n") >= F.lit(num) * F.greatest("n", "lead.n"))
-        pairs = pairs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lead.cid").alias("b"), F.col("lead.n").alias("nb")).distinct()
-        both = pairs.join(post.select(F.col("cid").alias("a"), "h"), "a").join(post.select(F.col("cid").alias("b"), "h"), ["b", "h"])
-        pairs = can_link(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o")))
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = None if pairs.isEmpty() else linked(pairs)
+        num, den, c = self.num, self.den, F.col
+        band = lambda x: F.floor(F.log(x) / math.log(BAND)).cast("int")
+        own = (c("comp") == c("big")).cast("int")
+        small = live.where("i").select("h", band(c("n")).alias("band"), own.alias("side"), F.struct("cid", "n", "p", "comp").alias("x"))
+        least, most = F.lit(num) * c("n") / den, F.least(c("n").cast("double"), (F.lit(den) * c("n") - F.lit(num + den) * c("p")) / num)
+        bands = F.explode(F.sequence(band(F.greatest(F.lit(1.0), least - 0.5)), band(most + 0.5)))
+        spread = live.where(most + 0.5 >= least).select("h", bands.alias("band"), own.alias("own"), F.struct("cid", "n", "p", "comp").alias("y"))
+        large = spread.select("h", "band", F.explode(F.when(c("own") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"), "y")
+        return small, large
+
+    def star(self, live: DataFrame, turn: int) -> DataFrame:
+        """Pairs of a shingle's members with the leads of its bands: the class with the fewest shingles before this one, in later turns also of another component each time."""
+        c = F.col
+        before, wide = F.floor(c("p") * 20 / c("n")), F.floor(F.log("n") / math.log(self.den / self.num))
+        order = F.struct(before, F.xxhash64("comp", F.lit(turn)), "cid") if turn else F.struct(before, "n", "cid")
+        lead = live.groupBy("h", wide).agg(F.min_by(F.struct("cid", "n", "p", "comp"), order).alias("y")).select("h", "y")
+        pairs = live.alias("x").join(lead, "h").where("comp != y.comp").where(self.fits())
+        return pairs.select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).distinct()
+
+    def rest(self, live: DataFrame) -> DataFrame:
+        """Pairs of all other members of different components that may link."""
+        c = F.col
+        small, large = self.sides(live)
+        one_way = (c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.cid") < c("y.cid")))
+        both = small.join(large, ["h", "band", "side"]).where(one_way & (c("x.comp") != c("y.comp")) & self.fits())
+        return both.select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).distinct()
+
+    def merge(self, pairs: DataFrame) -> tuple[int, int]:
+        """(pairs, links found among them); components take them in."""
+        pairs = cut(pairs)
+        n = pairs.count()
+        if not n:
+            return 0, 0
+        links = self.linked(pairs)
         drop(pairs)
-        if links is None or links.isEmpty():
-            break
-        edges = links if edges is None else edges.unionByName(links)
-        old, comps = comps, connected_components(edges)
-        drop(old)
-        release(spark)
-
-    # The exact rest: any two components that still meet under a shingle of the head.
-    # Members of a shingle's largest component are compared with the other members only.
-    live, meet = meeting(comps)
-    live = cut(live.join(meet.select("h", "big"), "h").select("h", "big", "cid", "n", "comp"))
-    one = live.where("comp != big").select("h", "big", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = live.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    both = one.join(two, "h").where("ca != cb and (cb = big or a < b)").where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    pairs = cut(can_link(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"))))
-    drop(live, post)
-    release(spark)
-    if not pairs.isEmpty():
-        links = linked(pairs)
-        edges = links if edges is None else edges.unionByName(links)
-        old, comps = comps, connected_components(edges)
-        drop(old)
-    drop(pairs)
-    release(spark)
-
-    out = classes.select("s1", "s2", "n", "cid", "rep")
-    if comps is not None:
-        least = comps.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
-        named = comps.join(least, "comp").select(F.col("node").alias("cid"), "least")
-        out = out.join(named, "cid", "left").withColumn("least", F.coalesce("least", "rep"))
-    else:
-        out = out.withColumn("least", F.col("rep"))
-    out = cut(out.select("s1", "s2", "n", "least", "rep"))
-    drop(classes, rank, comps)
-    release(spark)
-    back = sized.select("id", "n", "s1", "s2").join(out, ["s1", "s2", "n"], "left")
-    none = F.col("n") == 0
-    return back.select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNull(), None).when(none, F.col("id")).otherwise(F.col("least")).cast("long").alias("component_id"),
-        F.when(F.col("id").isNull(), None).when(none, F.col("id")).otherwise(F.col("rep")).cast("long").alias("class_id"),
-    )
+        m = links.count()
+        if m:
+            self.edges.append(links)
+            old, self.comps = self.comps, connected_components(_all(self.edges))
+            drop(old)
+        return n, m
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, na, nb) those that link: partial overlaps per fragment, summed per pair.
+
+        The head is the first fragment. Of two heads one ends first in the order; what its document shares beyond it is in
+        its tail. Only where head overlap and tail can reach the similarity are the bodies read.
+        """
+        n, num, den, c = self.n, self.num, self.den, F.col
+        ends = lambda p: p.select(c("a").alias("cid")).unionByName(p.select(c("b").alias("cid"))).distinct()
+        used = cut(ends(pairs))
+        # what heads share is among the postings; a head's size bounds the list
+        head = cut(self.post.select("cid", "h").join(few(used, used.count()), "cid").groupBy("cid").agg(F.collect_list("h").alias("head")))
+        shared = pairs.join(head.select(c("cid").alias("a"), c("head").alias("ha")), "a").join(head.select(c("cid").alias("b"), c("head").alias("hb")), "b")
+        tail = lambda x: F.floor((c(x) * num + (den - 1)) / den) - 1
+        can = (F.size(F.array_intersect("ha", "hb")) + F.greatest(tail("na"), tail("nb"))) * (num + den) >= F.lit(num) * (c("na") + c("nb"))
+        live = cut(shared.where(can).select("a", "b", "na", "nb"))
+        drop(used, head)
+        rows = live.count()
+        need = cut(self.classes.select("cid", "rep", "s1", "s2").join(few(ends(live), 2 * rows), "cid"))
+        texts = self.docs.join(few(need, 2 * rows), self.docs["id"] == need["rep"]).select("cid", "s1", "s2", "text")
+        body = texts.mapInArrow(lambda it: _bodies(it, n), "cid long, part int, body array<long>")
+        body = cut(body.groupBy("cid", "part").agg(F.first("body").alias("body")) if self.repeated else body)
+        left = body.join(few(live.withColumnRenamed("a", "cid"), rows), "cid").select(c("cid").alias("a"), "b", "na", "nb", "part", c("body").alias("xa"))
+        right = body.join(few(live.select(c("b").alias("cid")).distinct(), rows), "cid").select(c("cid").alias("b"), "part", c("body").alias("xb"))
+        part = left.join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).alias("o"))
+        whole = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+        links = cut(whole.where(F.lit(den) * c("o") >= F.lit(num) * (c("na") + c("nb") - c("o"))).select("a", "b"))
+        drop(live, need, body)
+        return links
+
+    def result(self) -> DataFrame:
+        c = F.col
+        out = self.classes.select("s1", "s2", "n", "cid", "rep")
+        if self.comps is not None:
+            least = self.comps.join(self.classes.select(c("cid").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
+            named = self.comps.join(least, "comp").select(c("node").alias("cid"), "least")
+            out = out.join(named, "cid", "left").withColumn("least", F.coalesce("least", "rep"))
+        else:
+            out = out.withColumn("least", c("rep"))
+        back = self.sized.join(out.select("s1", "s2", "n", "least", "rep"), ["s1", "s2", "n"], "left")
+        own = lambda x: F.when(c("id").isNull(), None).when(c("n") == 0, c("id")).otherwise(c(x)).cast("long")
+        done = cut(back.select(c("id").alias("doc_id"), c("n").cast("long").alias("n_shingles"), own("least").alias("component_id"), own("rep").alias("class_id")))
+        drop(self.classes, self.sized, self.comps, *self.edges)
+        return done
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 SQL = r"""
