@@ -9,9 +9,11 @@ are then verified by weighted Jaccard similarity of the two multisets of shingle
 A shingle's weight is ln(1 + items / items that hold it), so wording that many items share counts less. At 0.75 two
 fingerprints differ by 11 bits on average, standard deviation 3; the radius of 22 is 3.6 deviations away.
 
-The benchmark is the stated query set: it is gathered in blocks of ``BLOCK_ITEMS`` items and each block is broadcast, so
-the tables of fingerprints have a fixed size whatever the benchmark's. Weights are counted once over the items of all
-blocks, so results don't depend on the blocks; that table grows with the query set. Documents are never shuffled.
+The benchmark is the stated query set. Weights are counted once over all its items; only those of shingles that several
+items hold are kept, as the others have the greatest weight, like shingles outside of the benchmark. Items are then taken
+in blocks of ``BLOCK_ITEMS``, each with a broadcast of its own that is built once in a worker, so neither a broadcast nor a
+task grows with the benchmark but for the shared shingles, of which ``SHARED_MAX`` are allowed (beyond it an error says
+so). Results don't depend on the blocks. Documents are never shuffled.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null, empty or wordless items and texts match
 nothing. Items or texts below five words are one shingle, the whole. A document shorter than an item is one window.
@@ -21,6 +23,7 @@ Repeated rows are treated each; ties of windows go to the first.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WORD_BASE, chunks, mix, powers, window_hashes, word_hashes
+from .common import U, WORD_BASE, as_long, chunks, mix, powers, window_hashes, word_hashes
 
 K, THRESHOLD = 5, 0.75
 RADIUS, BLOCKS, BITS = 22, 8, 64
-BLOCK_ITEMS = 4096
+BLOCK_ITEMS, SHARED_MAX = 4096, 4_000_000
 _FILTER_BITS = 22
 
 
@@ -68,16 +71,20 @@ class HammingIndex:
 
 
 class Weights:
-    """Weights of shingles over the items of all blocks."""
+    """Weights of shingles over all items: ``counts`` of those that more than one holds; any other has the weight ``rare``."""
 
-    def __init__(self, blocks: list[list[np.ndarray]]):
-        held = Counter(int(h) for block in blocks for s in block for h in set(s.tolist()))
-        items = sum(map(len, blocks))
-        self.of = {h: math.log(1 + items / c) for h, c in held.items()}
+    def __init__(self, items: int, counts: dict[int, int]):
+        self.of = {h: math.log(1 + items / c) for h, c in counts.items()}
         self.rare = math.log(1 + items)
-        self.keys = np.array(sorted(held), U)
+        self.keys = np.array(sorted(counts), U)
         self.values = np.array([self.of[int(h)] for h in self.keys])
 
+    def each(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(h), self.rare)
+        spot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[spot] == h, self.values[spot], self.rare)
+
 
 def _items(ids: list[int], texts: list[str]) -> list[tuple[int, np.ndarray]]:
     """(id, word hashes) of the items with a word."""
@@ -93,7 +100,7 @@ class Benchmark:
         self.ids = [i for i, _ in kept]
         self.sizes = np.array([len(w) for _, w in kept], np.int64)
         self.shingles = shingles
-        self.all, self.weights, self.rare = weights, weights.of, weights.rare
+        self.weight, self.weights, self.rare = weights.each, weights.of, weights.rare
         self.keys = np.unique(np.concatenate([*shingles, np.empty(0, U)]))
         by: dict[int, set[int]] = {}
         for n, s in zip(self.sizes.tolist(), self.shingles, strict=True):
@@ -101,7 +108,7 @@ class Benchmark:
                 by.setdefault(h, set()).add(n)
         self.sizes_of = [sorted(by[int(h)]) for h in self.keys]
         self.bags = [Counter(s.tolist()) for s in self.shingles]
-        self.totals = [sum(self.weights[h] * c for h, c in bag.items()) for bag in self.bags]
+        self.totals = [sum(self.weights.get(h, self.rare) * c for h, c in bag.items()) for bag in self.bags]
         self.short = sorted({int(n) for n in self.sizes if n < k})
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[(self.keys >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
@@ -114,15 +121,10 @@ class Benchmark:
         spot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         return at[self.keys[spot] == h[at]]
 
-    def weight(self, h: np.ndarray) -> np.ndarray:
-        keys = self.all.keys
-        spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[spot] == h, self.all.values[spot], self.rare)
-
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of two multisets of shingles."""
         bag = Counter(window.tolist())
-        both = sum(self.weights[h] * min(c, bag[h]) for h, c in self.bags[item].items() if h in bag)
+        both = sum(self.weights.get(h, self.rare) * min(c, bag[h]) for h, c in self.bags[item].items() if h in bag)
         total = sum(self.weights.get(h, self.rare) * c for h, c in bag.items())
         return both / (total + self.totals[item] - both)
 
@@ -199,60 +201,97 @@ def _texts_with_hits(bench: Benchmark, texts: list) -> Iterator[tuple[int, dict]
                 yield start + i, found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
-    """Benchmark objects of BLOCK_ITEMS items, built on the driver from the stated query set."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    blocks, ids, texts = [], [], []
-    for r in rows.toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.t)
-        if len(ids) == BLOCK_ITEMS:
-            blocks.append((ids, texts))
-            ids, texts = [], []
-    if ids:
-        blocks.append((ids, texts))
-    return blocks
+def _item_shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(h, c) of the distinct shingles of each item, and (null, number of items with a word)."""
+    for batch in batches:
+        kept = _items(range(batch.num_rows), batch.column(0).to_pylist())
+        h = [np.unique(_hashes(w, k)) for _, w in kept]
+        h, c = np.unique(np.concatenate([*h, np.empty(0, U)]), return_counts=True)
+        keys = pa.concat_arrays([pa.array(as_long(h)), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([keys, pa.array([*c.tolist(), len(kept)], pa.int64())], ["h", "c"])
 
 
-def _ready(blocks, k: int) -> list[Benchmark]:
-    kept = [b for b in (_items(ids, texts) for ids, texts in blocks) if b]
-    shingles = [[_hashes(w, k) for _, w in b] for b in kept]
-    weights = Weights(shingles)
-    return [Benchmark(b, s, weights, k) for b, s in zip(kept, shingles, strict=True)]
+def _weights(items: DataFrame, k: int) -> Weights:
+    found = items.select("t").mapInArrow(lambda it: _item_shingles(it, k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1 or h is null")
+    rows = found.limit(SHARED_MAX + 2).toArrow()
+    if rows.num_rows > SHARED_MAX + 1:
+        raise ValueError(f"more than {SHARED_MAX} shingles are shared by several benchmark items: split the benchmark")
+    total = dict(zip(rows["h"].to_pylist(), rows["c"].to_pylist(), strict=True))
+    n = total.pop(None, 0)
+    return Weights(n, {h % 2**64: c for h, c in total.items()})
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_words): each document and item whose best window reaches 0.75."""
-    held = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, item_col, item_text_col))
+def _benchmarks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, k: int) -> Iterator:
+    """Functions, one for each block of items, that give the block's Benchmark on a worker; built there once."""
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    weights = _weights(items, k)
+    sc = docs.sparkSession.sparkContext
+
+    def block(rows):
+        held = sc.broadcast((uuid.uuid4().hex, [r.i for r in rows], [r.t for r in rows], weights, k))
+        return lambda: _built(*held.value)
+
+    rows = []
+    for r in items.toLocalIterator():
+        rows.append(r)
+        if len(rows) == BLOCK_ITEMS:
+            yield block(rows)
+            rows = []
+    if rows:
+        yield block(rows)
+
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _ready(held.value, k)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for bench in ready:
-                for i, found in _texts_with_hits(bench, texts):
-                    out += [(ids[i], bench.ids[item], sim, at, n) for item, (sim, at, n) in found.items()]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+_BUILT: dict[str, Benchmark | None] = {}
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+
+def _built(name: str, ids: list[int], texts: list[str], weights: Weights, k: int) -> Benchmark | None:
+    if name not in _BUILT:
+        if len(_BUILT) >= 4:  # a worker lives for many tasks, and works on few blocks at a time
+            _BUILT.pop(next(iter(_BUILT)))
+        kept = _items(ids, texts)
+        _BUILT[name] = Benchmark(kept, [_hashes(w, k) for _, w in kept], weights, k) if kept else None
+    return _BUILT[name]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words): each document and item whose best window reaches 0.75."""
+    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+    def scanner(ready):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = ready()
+            for batch in batches if bench else ():
+                ids = batch.column(0).to_pylist()
+                out = [(ids[i], bench.ids[item], sim, at, n) for i, found in _texts_with_hits(bench, batch.column(1).to_pylist()) for item, (sim, at, n) in found.items()]
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+
+        return scan
+
+    parts = [rows.mapInArrow(scanner(ready), schema) for ready in _benchmarks(docs, benchmark, item_col, item_text_col, k)]
+    out = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all columns, no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, item_col, item_text_col))
+    """``docs`` without the rows that hold a benchmark item; all columns, one pass, no shuffle."""
     at = docs.columns.index(text_col)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _ready(held.value, k)
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            texts = batch.column(at).to_pylist()
-            for bench in ready:
-                for i, _ in _texts_with_hits(bench, texts):
+    def sieve(ready):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = ready()
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for i, _ in _texts_with_hits(bench, batch.column(at).to_pylist()) if bench else ():
                     keep[i] = False
-            yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(keep))
+
+        return scan
 
-    return docs.mapInArrow(scan, docs.schema)
+    for ready in _benchmarks(docs, benchmark, item_col, item_text_col, k):
+        docs = docs.mapInArrow(sieve(ready), docs.schema)
+    return docs
