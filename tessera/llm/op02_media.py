@@ -3,11 +3,12 @@
 Archives are ZIP files of stored members. ``media_archive`` lists a directory's files and cuts each into byte ranges; a
 task reads the archive's directory of members and takes those whose header lies in its range, so members are neither
 missed nor read twice. Each member is read at its own offset and checked; a failed read is tried again alone, with a new
-file handle, without reading its neighbours again. What still fails becomes a row with null media and the error.
+file handle, without reading its neighbours again. What still fails becomes a row with null media and the error. An archive
+whose directory of members can't be read is one such row, without offset and member.
 
 ``write_archives`` stores texts: UTF-8, padded with bytes 255 to a positive multiple of 576, as an 8-bit grey PNG of width
-576. Every task writes one archive to the shared folder under a name of its own and renames it at the end, so attempts
-that are repeated replace the same file by the same bytes. ``decode_media`` decompresses and unpads.
+576. Every task writes archives of about ``ARCHIVE_BYTES`` to the shared folder, each under a name of its own and renamed at
+its end, so attempts that are repeated replace the same file by the same bytes, and a directory of members stays short. ``decode_media`` decompresses and unpads.
 
 Defined results: null text counts as empty, 576 bytes of padding; null doc_id stays null. Equal texts have equal media.
 Repeated rows are members of their own. A directory without archives is an empty table.
@@ -32,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import fresh_dir
 
-WIDTH, RANGE_BYTES, BATCH_BYTES, TRIES = 576, 8 << 20, 4 << 20, 3
+WIDTH, RANGE_BYTES, ARCHIVE_BYTES, BATCH_BYTES, TRIES = 576, 8 << 20, 64 << 20, 4 << 20, 3
 SCHEMA = "path string, offset long, member string, media binary, error string"
 #: zlib's fastest level: texts shrink to half, and the stored form is lossless at any level.
 LEVEL = 1
@@ -96,8 +97,14 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, _ = _filesystem(path)
         task = TaskContext.get()
-        name, count, out, archive = f"{folder}/part-{task.partitionId():06d}.zip", 0, None, None
         draft = f"{folder}/.draft-{task.taskAttemptId()}"
+        count, part, out, archive = 0, 0, None, None
+
+        def close() -> None:
+            archive.close()
+            out.close()
+            where.move(draft, f"{folder}/part-{task.partitionId():06d}-{part:05d}.zip")
+
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if archive is None:
@@ -106,10 +113,11 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     archive = zipfile.ZipFile(_Stream(out), "w", zipfile.ZIP_STORED)
                 archive.writestr(zipfile.ZipInfo(f"{count}-{'null' if i is None else i}.png"), encode_png(text))
                 count += 1
+                if out.tell() >= ARCHIVE_BYTES:
+                    close()
+                    archive, part = None, part + 1
         if archive is not None:
-            archive.close()
-            out.close()
-            where.move(draft, name)
+            close()
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["n"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
@@ -154,8 +162,11 @@ class ArchiveReader(DataSourceReader):
         if not part.path:
             return
         where, _ = _filesystem(self.path)
-        with where.open_input_file(part.path) as f:
-            members = [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in zipfile.ZipFile(f).infolist() if part.start <= m.header_offset < part.end]
+        members, error = self._members(where, part)
+        if error:
+            if part.start == 0:
+                yield _batch([(part.path, None, None, None, error)])
+            return
         source, rows, size = None, [], 0
         for offset, name, length, crc in sorted(members):
             media, error = None, None
@@ -175,6 +186,18 @@ class ArchiveReader(DataSourceReader):
             yield _batch(rows)
 
 
+    def _members(self, where: fs.FileSystem, part: Range) -> tuple[list[tuple], str | None]:
+        """(offset, name, stored bytes, CRC) of the members whose header lies in the range; or why the directory can't be read."""
+        error = None
+        for _ in range(self.tries):
+            try:
+                with where.open_input_file(part.path) as f:
+                    return [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in zipfile.ZipFile(f).infolist() if part.start <= m.header_offset < part.end], None
+            except (OSError, ValueError, zipfile.BadZipFile) as e:
+                error = f"{type(e).__name__}: {e}"
+        return [], error
+
+
 def read_member(source, offset: int, length: int, crc: int) -> bytes:
     """The stored bytes of the member whose local header is at ``offset``."""
     source.seek(offset)
@@ -224,7 +247,7 @@ def decode_media(media: DataFrame) -> DataFrame:
             out = []
             for member, data, error in zip(batch["member"].to_pylist(), batch["media"], batch["error"].to_pylist(), strict=True):
                 if error:
-                    raise OSError(f"{member}: {error}")
+                    raise OSError(f"{member or 'directory'}: {error}")
                 stored = data.as_py()
                 payload = decode_png(stored)
                 raw = payload.rstrip(b"\xff")
