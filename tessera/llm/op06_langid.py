@@ -15,7 +15,6 @@ are ``und``. With one language every text with a letter is that language, score
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,30 +28,34 @@ from .common import U, chunks
 #: Labelled rows to fit on (about); size of the feature table; margin of probability under which a row is ambiguous.
 TRAIN_ROWS, DIM, AMBIGUOUS = 6000, 2048, 0.2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Columns that ``identify`` adds.
+FOUND = ("__lang_pred", "__lang_score", "__lang_ambiguous", "__lang_distance")
 #: ASCII letters lower-cased, bytes from 128 on as they are, everything else a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """One unit row of DIM hashed n-gram weights per text; whole texts, runs of other bytes count as one space."""
+    """One unit row of DIM hashed n-gram weights per text; whole texts, runs of other bytes count as one space.
+
+    Every text is followed by three zero bytes, so that no n-gram reaches into the next one.
+    """
     out = np.zeros((len(texts), DIM), np.float32)
     shift = U(64 - int(math.log2(DIM)))
-    buf = np.frombuffer(b" ".join([b"", *texts, b"   "]).translate(_FOLD), np.uint8)
+    buf = np.frombuffer(b"".join(b" " + t.translate(_FOLD) + b" \0\0\0" for t in texts) + bytes(4), np.uint8)
     keep = np.ones(len(buf), bool)
     keep[1:] = (buf[1:] != 32) | (buf[:-1] != 32)
     place = np.cumsum(keep) - 1
-    at = place[np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])]
+    first = np.concatenate([[0], np.cumsum([len(t) + 5 for t in texts])])
+    start, end = place[first[:-1]], place[first[1:] - 3]
     b = buf[keep].astype(U)
-    b = np.concatenate([b, np.full(4, 32, U)])
     two = b[:-1] | b[1:] << U(8)
     three = two[:-1] | b[2:] << U(16)
     four = three[:-1] | b[3:] << U(24)
     slots = [((g * m) >> shift).astype(np.int32) for g, m in zip((two, three, four), _ODD, strict=True)]
     for i in range(len(texts)):
         for s in slots:
-            own = s[at[i] : at[i + 1]]
+            own = s[start[i] : end[i]]
             if len(own):
                 out[i] += np.bincount(own, minlength=DIM)
     np.sqrt(out, out=out)
@@ -75,7 +78,14 @@ def codebook(languages: int) -> np.ndarray:
     return best[1]
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter by its Unicode category (signs such as ² or ½ and numerals such as Ⅷ aren't)."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 class Model:
+    """Fitted on rows in the order given, every fifth held back: callers bring them into an order of their own."""
+
     def __init__(self, x: np.ndarray, y: list[str]):
         self.languages = sorted(set(y))
         self.code = codebook(len(self.languages))
@@ -102,27 +112,32 @@ class Model:
             w, b = w + vw, b + vb
         return w, b
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language number, probability, ambiguous) per row."""
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language number, probability, ambiguous, distance of the nearest codeword) per row.
+
+        The distance is a weighted mean of losses: near 0 where all bits agree with the codeword, and ln 2 where they say
+        nothing, however many languages there are.
+        """
         if len(self.languages) == 1:
-            return np.zeros(len(x), int), np.ones(len(x)), np.zeros(len(x), bool)
+            return np.zeros(len(x), int), np.ones(len(x)), np.zeros(len(x), bool), np.zeros(len(x))
         margin = x @ self.w + self.b
         loss = np.stack([(np.log1p(np.exp(-np.clip(margin * c, -30, 30))) * self.weight).sum(axis=1) for c in self.code.astype(np.float32)], axis=1)
         p = np.exp(-4 * (loss - loss.min(axis=1, keepdims=True)))
         p /= p.sum(axis=1, keepdims=True)
         ranked = np.sort(p, axis=1)
-        return p.argmax(axis=1), ranked[:, -1], ranked[:, -1] - ranked[:, -2] < AMBIGUOUS
+        return p.argmax(axis=1), ranked[:, -1], ranked[:, -1] - ranked[:, -2] < AMBIGUOUS, loss.min(axis=1)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(1).to_pylist()
+        keys = batch.column(2)
         for start, held in chunks(batch.column(0).to_pylist()):
             x = features(held)
             rows = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs[start : start + len(held)], pa.string()), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([v[r] for v, r in zip(x, rows, strict=True)], pa.list_(pa.float32()))],
-                ["lang", "at", "v"],
+                [keys.slice(start, len(held)), pa.array(langs[start : start + len(held)], pa.string()), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([v[r] for v, r in zip(x, rows, strict=True)], pa.list_(pa.float32()))],
+                ["key", "lang", "at", "v"],
             )
 
 
@@ -139,7 +154,9 @@ def sampled(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    held = sampled(rows.select("id", "text", "lang"), "id", train_rows).select("text", "lang").mapInArrow(_sparse, "lang string, at array<int>, v array<float>").toArrow()
+    few = sampled(rows, "id", train_rows).select("text", "lang", F.xxhash64("id", "lang", "text").alias("key"))
+    # in an order that doesn't depend on how the rows are dealt; rows with equal keys are equal
+    held = few.mapInArrow(_sparse, "key long, lang string, at array<int>, v array<float>").toArrow().sort_by("key")
     x = np.zeros((held.num_rows, DIM), np.float32)
     for i, (at, v) in enumerate(zip(held["at"], held["v"], strict=True)):
         x[i, at.values.to_numpy()] = v.values.to_numpy()
@@ -147,23 +164,28 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lang_pred, __lang_score and __lang_ambiguous, one pass without a shuffle."""
+    """``docs`` with __lang_pred, __lang_score, __lang_ambiguous and __lang_distance, one pass without a shuffle.
+
+    Columns of ``docs`` that have such a name already are replaced.
+    """
+    docs = docs.drop(*FOUND)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    schema = StructType(list(docs.schema.fields)).add("__lang_pred", "string").add("__lang_score", "double").add("__lang_ambiguous", "boolean")
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in zip(FOUND, ("string", "double", "boolean", "double"), strict=True):
+        schema = schema.add(name, kind)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            lang, score, flag = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            lang, score, flag, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool), np.full(len(texts), math.log(2))
             for start, part in chunks(texts) if m.languages else ():
-                n, p, unsure = m.predict(features(part))
+                n, p, unsure, distance = m.predict(features(part))
                 for j in range(len(part)):
-                    t = texts[start + j]
-                    if t and _LETTER.search(t):
-                        lang[start + j], score[start + j], flag[start + j] = m.languages[n[j]], p[j], unsure[j]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(flag)], names=[*batch.schema.names, "__lang_pred", "__lang_score", "__lang_ambiguous"])
+                    if has_letter(texts[start + j]):
+                        lang[start + j], score[start + j], flag[start + j], far[start + j] = m.languages[n[j]], p[j], unsure[j], distance[j]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(flag), pa.array(far)], names=[*batch.schema.names, *FOUND])
 
     return docs.mapInArrow(scan, schema)
 

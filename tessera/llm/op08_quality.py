@@ -47,8 +47,8 @@ def _shapes(texts: list[bytes], h: np.ndarray, doc: np.ndarray, first: np.ndarra
     before = np.maximum(last - 1, first)
     s = ((_CLASS[buf[first]].astype(U) * U(6) + _CLASS[buf[second]]) * U(6) + _CLASS[buf[before]]) * U(6) + _CLASS[buf[last]]
     again = np.zeros(len(h), U)
-    again[1:] |= (h[1:] == h[:-1]).astype(U)
-    again[2:] |= (h[2:] == h[:-2]).astype(U) << U(1)
+    again[1:] |= ((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])).astype(U)
+    again[2:] |= ((h[2:] == h[:-2]) & (doc[2:] == doc[:-2])).astype(U) << U(1)
     return s * U(4) + again
 
 
@@ -149,16 +149,17 @@ class Model:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        y = batch.column(1).to_pylist()
+        y, keys = batch.column(1).to_pylist(), batch.column(2)
         for start, held in chunks(batch.column(0).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(y[start : start + len(held)], pa.int32()), pa.array([r.astype(np.int32) for r in indicators(held)], pa.list_(pa.int32()))], ["y", "at"])
+            yield pa.RecordBatch.from_arrays([keys.slice(start, len(held)), pa.array(y[start : start + len(held)], pa.int32()), pa.array([r.astype(np.int32) for r in indicators(held)], pa.list_(pa.int32()))], ["key", "y", "at"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     few = sampled(known, "id", train_rows)  # about train_rows rows of two numbers: a bounded side to broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id")
-    held = rows.select("text", "y").mapInArrow(_labelled, "y int, at array<int>").toArrow()
+    # in an order that doesn't depend on how the rows are dealt; rows with equal keys are equal
+    held = rows.select("text", "y", F.xxhash64("id", "y", "text").alias("key")).mapInArrow(_labelled, "key long, y int, at array<int>").toArrow().sort_by("key")
     at = [a.values.to_numpy().astype(np.int64) for a in held["at"]]
     return Model(at, held["y"].to_numpy() if held.num_rows else np.empty(0))
 
