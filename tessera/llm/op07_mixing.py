@@ -4,7 +4,9 @@ Every document gets a hash-random key (60 bits of an md5 of seed and doc_id). Ke
 space are the ranges of a range sort without a sampling pass: ``RANGES`` of them in each source. Word counts are summed
 per (source, range), prefix sums over a source's ranges give each range its start, and a window inside a range gives each
 document its place. A source's budget is then cut exactly: whole epochs first, then documents in key order, the last one
-in part. No task gets a source: the largest unit is one range of one source.
+in part. No task gets a source: the largest unit is one range of one source. The weights go round by the order of the
+sources, so targets are worked out over one row a source in one task: some millions of sources at most. Targets are
+broadcast up to ``BROADCAST_ROWS`` sources and joined by a shuffle beyond.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; rows with equal keys are in
 order of doc_id and size (rows equal in both are interchangeable); an empty table gives an empty table; when all sizes
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 #: Ranges of the key space in each source; 1e10 rows of one source are 2.4 million in a range.
 RANGES = 4096
@@ -60,12 +62,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("*", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("g"), F.shiftright("key", 48).alias("r"))
     rows = cut(rows)
     ranges = cut(rows.groupBy("g", "r").agg(F.sum("size").alias("range_size")))
-    goal = targets(ranges.groupBy("g").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
+    goal = cut(targets(ranges.groupBy("g").agg(F.sum("range_size").alias("source_size")), weights, share, cap))
+    few = F.broadcast if goal.count() <= BROADCAST_ROWS else (lambda df: df)
     goal = goal.withColumn("budget", F.floor("target").cast("long"))
     positive = F.greatest(F.col("source_size"), F.lit(1))
     goal = goal.withColumn("epochs", F.floor(F.col("budget") / positive).cast("long")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     before = F.sum("range_size").over(Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("range_size")
-    starts = ranges.select("g", "r", before.alias("start")).join(F.broadcast(goal), "g")
+    starts = ranges.select("g", "r", before.alias("start")).join(few(goal), "g")
     place = F.sum("size").over(Window.partitionBy("g", "r").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = rows.join(starts, ["g", "r"]).select("*", (F.col("start") + place - F.col("size")).alias("at"))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at")))
