@@ -91,25 +91,36 @@ def doc_markdown(c) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def is_qualified(name: str) -> bool:
+    """Identifiers joined by dots; ``$`` counts as a letter."""
+    return all(part.replace("$", "_").isidentifier() for part in name.split("."))
+
+
 def parse_name_path(path: str) -> list[tuple[str, list[str] | None]]:
     """Segments (name, parameters or None) of ``a/b/c(int,String)``; ValueError if it is none."""
     if not path or not path.strip() or len(path) > 8192:
-        raise ValueError("invalid name path")
-    name = re.compile(r"[^\W\d][\w$]*(?:\.[^\W\d][\w$]*)*")
+        raise ValueError("a name path has 1 to 8192 characters")
     out: list[tuple[str, list[str] | None]] = []
     for part in path.split("/"):
         m = re.fullmatch(r"([^()]*)(?:\(([^()]*)\))?", part)
-        if not m or not name.fullmatch(m[1]):
-            raise ValueError("invalid name path")
+        if not m or not is_qualified(m[1]):
+            raise ValueError(f"no name or overload: {part!r}")
         params = None
         if m[2] is not None:
             params = [p.strip() for p in m[2].split(",")] if m[2].strip() else []
-            if any(not re.fullmatch(name.pattern + r"(?:\[\])*", p) or p.removesuffix("[]") == "void" for p in params):
-                raise ValueError("invalid parameter type")
+            for p in params:
+                base = re.sub(r"(?:\[\])+$", "", p)
+                if base == "void" or not is_qualified(base):
+                    raise ValueError(f"no parameter type: {p!r}")
         out.append((m[1], params))
     return out
 
 
+def is_identity_path(path: str) -> bool:
+    """Whether a path is a whole identity, which is compared as it is, instead of names."""
+    return path.startswith(("maven ", "local "))
+
+
 def name_path_matches(path: str, segments, params=None) -> Column:
     """Whether the wanted path is a suffix of ``segments`` (array of names).
 
@@ -167,3 +178,98 @@ def canonical(*cols) -> Column:
 
 def digest(*cols) -> Column:
     return F.sha2(canonical(*cols), 256)
+
+
+def typed(*cols) -> Column:
+    """Like ``canonical``, but the number 1 and the text '1' differ: each value carries the first letter of its SQL type."""
+    tag = lambda c: F.substr(F.typeof(col(c)), F.lit(1), F.lit(1))
+    return F.concat(*[F.concat(tag(c), canonical(c)) for c in cols])
+
+
+def type_tokens(c) -> Column:
+    """A written type as names and signs: ``Map<K,List<V>>`` -> Map < K , List < V > >."""
+    return F.regexp_extract_all(col(c), F.lit(r"[\w.$]+|[^\w.$]"), F.lit(0))
+
+
+def substituted(c, variables, arguments) -> Column:
+    """A written type with type variables replaced by arguments of the same place; whole names only, at any depth, at once."""
+    known = F.map_from_arrays(col(variables), col(arguments))
+    return F.array_join(F.transform(type_tokens(c), lambda x: F.coalesce(F.get(F.map_values(F.map_filter(known, lambda k, v: k == x)), F.lit(0)), x)), "")
+
+
+def varint(c) -> Column:
+    """A whole number from 0 on as the hex of its groups of seven bits, least first, the top bit set on all but the last."""
+    n = col(c).cast("long")
+    groups = F.when(n == 0, F.lit(1)).otherwise(F.ceil((F.floor(F.log2(n.cast("double"))) + 1) / 7)).cast("int")
+    byte = lambda i: F.call_function("shiftrightunsigned", n, F.lit(7) * i).bitwiseAND(127) + F.when(i < groups - 1, 128).otherwise(0)
+    return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), lambda i: hex_padded(byte(i), 2)), "")
+
+
+def varint_value(c) -> Column:
+    """The number that ``varint`` wrote."""
+    s = col(c)
+    byte = lambda i: F.conv(F.substr(s, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(127)
+    last = (F.length(s) / 2 - 1).cast("int")
+    return F.aggregate(F.reverse(F.sequence(F.lit(0), last)), F.lit(0).cast("long"), lambda acc, i: acc * 128 + byte(i))
+
+
+def offset_of(text, line, column) -> Column:
+    """Offset in code points of a zero-based (line, column); null if the text has no such line or the line is shorter."""
+    lines = F.split(col(text), "\n")
+    at = F.get(lines, col(line))
+    before = F.aggregate(F.slice(lines, F.lit(1), F.greatest(col(line), F.lit(0))), F.lit(0), lambda n, s: n + F.length(s) + 1)
+    return F.when((col(column) >= 0) & (col(column) <= F.length(at)), before + col(column))
+
+
+def json_pointer(c, pointer: str) -> Column:
+    """The value at a pointer such as ``/a/0/b`` as JSON text or, if it is a string, as text; ~1 is a slash, ~0 a tilde."""
+    steps = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
+    path = "$" + "".join(f"[{p}]" if re.fullmatch(r"0|[1-9][0-9]*", p) else f"['{p}']" for p in steps)
+    return F.get_json_object(col(c), path)
+
+
+def json_canonical(c) -> Column:
+    """JSON text with sorted keys and without spaces; null if it is none."""
+    return F.to_json(F.try_parse_json(col(c)))
+
+
+def edited(text, edits) -> Column:
+    """``text`` with edits, an array of (start, end, new) in code points, applied at once; null if two of them overlap.
+
+    Insertions at one place keep the order of the array.
+    """
+    order = F.transform(col(edits), lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), i.alias("i"), e["new"].alias("new")))
+    step = lambda s, e: F.struct(
+        F.when(e["start"] >= s["at"], F.concat(s["out"], F.substr(col(text), s["at"] + 1, e["start"] - s["at"]), e["new"])).alias("out"), F.greatest(e["end"], s["at"]).cast("int").alias("at")
+    )
+    done = F.aggregate(F.array_sort(order), F.struct(F.lit("").alias("out"), F.lit(0).cast("int").alias("at")), step)
+    return F.concat(done["out"], F.substr(col(text), done["at"] + 1, F.length(col(text))))
+
+
+def override_eligible(child_flags, parent_flags, child_descriptor, parent_descriptor, same_package) -> Column:
+    """Neither is private or static, parameters are equal up to the closing bracket, and the parent is visible."""
+    free = lambda c: col(c).bitwiseAND(10) == 0
+    before = lambda c: F.substring_index(col(c), ")", 1)
+    return free(child_flags) & free(parent_flags) & (before(child_descriptor) == before(parent_descriptor)) & ((col(parent_flags).bitwiseAND(5) != 0) | col(same_package))
+
+
+def symbol_identity(gav, fqn, key, kind, name, descriptor, overload=None) -> Column:
+    """``maven group/artifact version Owner#member(types).`` of a symbol; a type ends with its #.
+
+    ``overload``: a readable return type where only that tells methods apart, else null. Null without three coordinates.
+    """
+    parts = F.split(col(gav), ":", 3)
+    coordinates = F.concat(F.lit("maven "), F.get(parts, F.lit(0)), F.lit("/"), F.get(parts, F.lit(1)), F.lit(" "), F.get(parts, F.lit(2)), F.lit(" "))
+    owner = F.concat(F.translate(col(fqn), ".$", "/#"), F.lit("#"))
+    ending = F.lit("") if overload is None else F.coalesce(F.concat(F.lit(";return="), col(overload)), F.lit(""))
+    called = F.when(col(kind) == "ctor", "<init>").otherwise(col(name))
+    method = F.concat(called, F.lit("("), F.array_join(descriptor_parameters(descriptor), ","), ending, F.lit(")."))
+    member = F.when(col(key) == col(fqn), "").when(col(kind).isin("method", "ctor"), method).otherwise(F.concat(col(name), F.lit(".")))
+    return F.concat(coordinates, owner, member)
+
+
+def with_names(signature, old, new, stored) -> Column:
+    """A signature with parameter names replaced as whole words, place by place, unless ``stored`` says it has its own."""
+    pairs = F.zip_with(col(old), col(new), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    done = F.aggregate(pairs, col(signature), lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"\b"), x["a"], F.lit(r"\b")), x["b"]))
+    return F.when(col(stored) | (F.size(col(old)) != F.size(col(new))), col(signature)).otherwise(done)
