@@ -46,8 +46,8 @@ def closure(edges: DataFrame, roots: DataFrame, levels: int, kinds: Sequence[str
     return got if limit is None else got.offset(offset).limit(max(0, limit))
 
 
-def closure_pairs(edges: DataFrame, a: str, b: str, levels: int = 20) -> DataFrame:
-    """(a, b, level) of all pairs that a path of at most ``levels`` edges joins."""
+def closure_pairs(edges: DataFrame, a: str, b: str, levels: int | None = None) -> DataFrame:
+    """(a, b, level) of all pairs that a path joins, or one of at most ``levels`` edges."""
     e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
     got = reach(e, e.select(F.col("src").alias("id")), levels)
     return got.select(F.col("root").alias(a), F.col("id").alias(b), "level")
@@ -161,7 +161,7 @@ def folded_identities(edges: DataFrame, nodes: DataFrame, own: str = "own") -> D
     return rest if done is None else done.unionByName(rest)
 
 
-def propagate(edges: DataFrame, states: DataFrame, changed: DataFrame, recompute, levels: int = 64) -> tuple[DataFrame, DataFrame]:
+def propagate(edges: DataFrame, states: DataFrame, changed: DataFrame, recompute) -> tuple[DataFrame, DataFrame]:
     """Height-ordered propagation with early cut-off: (states after, ids whose result changed).
 
     ``states``: (id, height, result); ``edges``: src consumes dst; ``recompute(ids, states, edges)`` gives (id, result).
@@ -170,7 +170,7 @@ def propagate(edges: DataFrame, states: DataFrame, changed: DataFrame, recompute
     dirty = cut(changed.select("id").distinct())
     now = states
     moved = None
-    for h in range(1, levels + 1):
+    for h in count(1):
         at = now.where(F.col("height") == h).select("id")
         turn = cut(dirty.join(at, "id", "left_semi"))
         if not turn.isEmpty():

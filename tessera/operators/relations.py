@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,19 @@ def resolve_targets(edges: DataFrame, symbols: DataFrame, target: str = "target_
     return edges.join(first_winner(symbols, [key], *precedence), edges[target] == symbols[key])
 
 
-def resolve_inherited(edges: DataFrame, members: DataFrame, parents: DataFrame, levels: int = 20) -> DataFrame:
+def resolve_inherited(edges: DataFrame, members: DataFrame, parents: DataFrame, levels: int | None = None) -> DataFrame:
     """(owner, name) resolved in the owner or else the nearest supertype that has a member of the name.
 
+    Walks until every name is found or has no supertype left, or ``levels`` steps if given; cycles end, as no owner is
+    entered twice for a name.
+
     ``edges``: (src, owner, name); ``members``: (owner, name, id, flags); ``parents``: (child, parent). Private members
     are not inherited. Result: src, owner, name, found_in, id, levels. The frontier shrinks as names are found.
     """
     open_ = edges.select("src", "owner", "name").distinct().withColumn("at", F.col("owner"))
     visited = open_
     done = None
-    for level in range(levels + 1):
+    for level in count() if levels is None else range(levels + 1):
         m = members.select(F.col("owner").alias("at"), "name", "id", "flags")
         if level:
             m = m.where(F.col("flags").bitwiseAND(2) == 0)
@@ -72,14 +76,14 @@ def unresolved(targets: DataFrame, known: DataFrame, target: str, key: str) -> D
     return targets.join(known.select(F.col(key).alias(target)), target, "left_anti")
 
 
-def overrides(methods: DataFrame, extends: DataFrame, transitive: bool = True, levels: int = 20) -> DataFrame:
+def overrides(methods: DataFrame, extends: DataFrame, transitive: bool = True) -> DataFrame:
     """(child_id, parent_id): same name and parameters in a supertype; neither private nor static, parent accessible.
 
     ``methods``: (id, owner, name, params, flags, package); ``extends``: (child, parent) of owners.
     """
     from .graph import closure_pairs
 
-    up = closure_pairs(extends, "child", "parent", levels if transitive else 1)
+    up = closure_pairs(extends, "child", "parent", None if transitive else 1)
     able = methods.where(F.col("flags").bitwiseAND(10) == 0)
     child = able.select(F.col("id").alias("child_id"), F.col("owner").alias("child"), "name", "params", F.col("package").alias("child_package"))
     parent = able.select(F.col("id").alias("parent_id"), F.col("owner").alias("parent"), "name", "params", F.col("package").alias("parent_package"), F.col("flags").alias("parent_flags"))
@@ -107,22 +111,32 @@ def prefix_waiters(waiting: DataFrame, names: DataFrame, waiter: str, unresolved
 def longest_prefix(rows: DataFrame, roots: DataFrame, path: str, root: str, sep: str = "/") -> DataFrame:
     """Each row with the longest root that is its path or an ancestor directory of it; rows without one have null.
 
-    Ancestors are exploded, so it is an equi-join; the root table may have any size.
+    Ancestors are exploded, so it is an equi-join; the root table may have any size. A path is looked up once, however
+    often it comes.
     """
     parts = F.split(F.col(path), sep)
-    up = rows.withColumn("__id", F.monotonically_increasing_id())
-    steps = up.select("__id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), sep))).alias("__len", root))
-    best = steps.join(roots.select(root).distinct(), root).groupBy("__id").agg(F.max_by(root, "__len").alias(root))
-    return up.join(best, "__id", "left").drop("__id")
+    steps = rows.select(path).distinct().select(path, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), sep))).alias("__len", root))
+    best = steps.join(roots.select(root).distinct(), root).groupBy(path).agg(F.max_by(root, "__len").alias(root))
+    return rows.join(best, path, "left").select(*rows.columns, root)
 
 
 def innermost_interval(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, span_id: str, bucket: int, on: Sequence[str] = ()) -> DataFrame:
-    """Each point with the smallest span that holds it (start <= at < end; ties by id). Spans are cut into buckets."""
-    s = spans.where(F.col(end) > F.col(start)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))))
-    p = points.withColumn("__b", F.floor(F.col(at) / bucket))
-    hit = p.join(s, ["__b", *on]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+    """Each point with the smallest span that holds it (start <= at < end; ties by id); points without one are dropped.
+
+    Buckets come in sizes ``bucket``, twice that, four times that and so on. A span is cut by the first size that isn't
+    shorter than it, so into two buckets at most, however long it is; a place is looked up once in each size.
+    """
+    size = F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start)) / bucket))).cast("int")
+    width = lambda level: F.lit(bucket).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), level)
+    in_bucket = lambda x, level: F.floor(x / width(level)).cast("long")
+    s = spans.where(F.col(end) > F.col(start)).withColumn("__size", size)
+    top = s.agg(F.max("__size")).first()[0] or 0
+    s = s.withColumn("__b", F.explode(F.sequence(in_bucket(F.col(start), F.col("__size")), in_bucket(F.col(end) - 1, F.col("__size")))))
+    places = points.select(at, *on).distinct().withColumn("__size", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("__b", in_bucket(F.col(at), F.col("__size")))
+    hit = places.join(s, ["__size", "__b", *on]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
     order = F.struct((F.col(end) - F.col(start)), span_id)
-    return hit.groupBy(*points.columns).agg(F.min_by(span_id, order).alias(span_id))
+    best = hit.groupBy(at, *on).agg(F.min_by(span_id, order).alias(span_id))
+    return points.join(best, [at, *on]).select(*points.columns, span_id)
 
 
 def fallback_match(left: DataFrame, right: DataFrame, exact: Sequence[str], coarse: Sequence[str], value: str, order: str) -> DataFrame:

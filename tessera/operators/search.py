@@ -62,9 +62,10 @@ def page(df: DataFrame, order: Sequence, limit: int, after: dict | None = None)
     return df.orderBy(*order).limit(limit)
 
 
-def page_with_more(df: DataFrame, order: Sequence[str], limit: int, after: dict | None = None) -> DataFrame:
-    """A page with ``truncated``: whether one more row was there, seen by asking for limit + 1."""
-    got = page(df, order, limit + 1, after)
+def page_with_more(df: DataFrame, order: Sequence[str], limit: int, after: dict | None = None, skip: int = 0) -> DataFrame:
+    """A page with ``truncated``: whether one more row was there, seen by asking for limit + 1. ``skip`` rows come before it."""
+    got = page(df, order, limit + 1 + skip, after)
+    got = got.offset(skip) if skip else got
     w = Window.orderBy(*order)
     return got.withColumn("__rn", F.row_number().over(w)).withColumn("truncated", F.max("__rn").over(Window.partitionBy()) > limit).where(F.col("__rn") <= limit).drop("__rn")
 

@@ -70,9 +70,11 @@ def ordered_diff(a: DataFrame, b: DataFrame, by: str, pos: str, item: str) -> Da
     kind = dict(a.dtypes)[by]
 
     def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values(pos), y.sort_values(pos)
-        left, right = x[item].tolist(), y[item].tolist()
+        # a side without rows has no columns either
+        left, right = ([] if side.empty else side.sort_values(p)[i].tolist() for side, p, i in ((x, pos, item), (y, f"__{pos}", f"__{item}")))
         rows = [(key[0], c, left[i] if c == "remove" else right[j], i, j) for c, i, j in myers(left, right) if c != "keep"]
         return pd.DataFrame(rows, columns=[by, "change", item, "from_pos", "to_pos"])
 
-    return a.select(by, pos, item).groupBy(by).cogroup(b.select(by, pos, item).groupBy(by)).applyInPandas(run, f"{by} {kind}, change string, {item} string, from_pos long, to_pos long")
+    # names of their own for the right side: where both come from one table, Spark prunes it by the left side's columns
+    right = b.select(*[F.col(c).alias(f"__{c}") for c in (by, pos, item)])
+    return a.select(by, pos, item).groupBy(by).cogroup(right.groupBy(f"__{by}")).applyInPandas(run, f"{by} {kind}, change string, {item} string, from_pos long, to_pos long")

@@ -75,12 +75,14 @@ def _bounds(limit: int, most: int, depth: int = 0, deepest: int = 20) -> None:
     check(depth, {"type": "integer", "minimum": 0, "maximum": deepest}, "depth")
 
 
-def cursor_id(cursor: str | None) -> int:
-    """``index:<id>`` with id from 1 on; a plain number is an old offset."""
+def cursor_of(cursor: str | None) -> tuple[int, int]:
+    """(last id, rows to skip): ``index:<id>`` with id from 1 on goes on after an id, a plain number skips so many rows."""
     if cursor is None:
-        return 0
+        return 0, 0
     if m := re.fullmatch(r"index:([1-9][0-9]*)", cursor):
-        return int(m[1])
+        return int(m[1]), 0
+    if re.fullmatch(r"0|[1-9][0-9]{0,17}", cursor):
+        return 0, int(cursor)
     raise InvalidArgument("malformed cursor")
 
 
@@ -110,7 +112,7 @@ class Catalog:
             segments = F.split(F.col("name_path"), "/")
             match = s.exact_identity(name_path, "binary_key", "scip")
             try:
-                match = match | tx.name_path_matches(name_path, segments, tx.descriptor_parameters("descriptor") if "descriptor" in rows.columns else F.array().cast("array<string>"))
+                match = match if tx.is_identity_path(name_path) else match | tx.name_path_matches(name_path, segments, tx.descriptor_parameters("descriptor") if "descriptor" in rows.columns else F.array().cast("array<string>"))
             except ValueError as e:
                 raise InvalidArgument(str(e)) from e
             hit = rows.where(match)
@@ -125,7 +127,8 @@ class Catalog:
             hit = hit.where(s.kind_in("kind", kinds))
         if include_body:
             hit = hit.withColumn("body", tx.body_slice("text", "body_start", "body_end"))
-        return s.page_with_more(hit, ["id"], limit, {"id": cursor_id(cursor)})
+        after, skip = cursor_of(cursor)
+        return s.page_with_more(hit, ["id"], limit, {"id": after}, skip)
 
     def overview(self, path: str | None = None, package: str | None = None, depth: int = 1, limit: int = 100, offset: int = 0) -> DataFrame:
         if (path is None) == (package is None):

@@ -6,6 +6,7 @@ Everything goes through Spark's own readers and writers and Hadoop's file system
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 class Generations:
-    """Versioned directories of one table and a small pointer file.
+    """Versioned directories of one table and small numbered pointer files, of which the last counts.
 
-    A generation is written under its key to a draft and renamed, so a key is published once; only a validated one can
+    A pointer is written under a name of its own and renamed to the next number, so whatever breaks off, the pointer before
+    it still stands; of two writers at once one gets the number and the other an error. A generation is written under its key to a draft and renamed, so a key is published once; only a validated one can
     become active; the one before stays for rollback; activating the active one again changes nothing.
     """
 
@@ -52,10 +54,16 @@ class Generations:
             raise LookupError("no active generation")
         return self.spark.read.parquet(self._path(key))
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        fs, p, _ = _fs(self.spark, f"{self.root}/_pointers")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n[:-5]), f"{self.root}/_pointers/{n}") for n in names if n.endswith(".json") and n[:-5].isdigit())
+
     def pointer(self) -> dict:
-        fs, p, _ = _fs(self.spark, f"{self.root}/_pointer.json")
-        if not fs.exists(p):
+        known = self._pointers()
+        if not known:
             return {}
+        fs, p, _ = _fs(self.spark, known[-1][1])
         stream = fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -63,15 +71,20 @@ class Generations:
             stream.close()
 
     def _point(self, value: dict) -> None:
-        fs, p, path = _fs(self.spark, f"{self.root}/_pointer.json")
-        draft = path(f"{self.root}/_pointer.draft")
-        out = fs.create(draft, True)
+        known = self._pointers()
+        fs, draft, path = _fs(self.spark, f"{self.root}/_pointers/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
         try:
             out.write(bytearray(json.dumps(value).encode()))
         finally:
             out.close()
-        fs.delete(p, False)
-        fs.rename(draft, p)
+        last = known[-1][0] if known else 0
+        to = path(f"{self.root}/_pointers/{last + 1:020d}.json")
+        if fs.exists(to) or not fs.rename(draft, to):
+            fs.delete(draft, False)
+            raise RuntimeError("another writer has moved the pointer")
+        for _, old in known[:-1]:
+            fs.delete(path(old), False)
 
     def activate(self, key: str, validate=None) -> None:
         """``validate(df)`` must be true; the active generation becomes the previous one."""
@@ -89,9 +102,20 @@ class Generations:
         self._point({"active": now["previous"], "previous": now["active"]})
 
 
-def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
-    """Writes the partitions that ``df`` has and leaves the others; one file's rows are one partition value."""
+def replace_partitions(df: DataFrame, path: str, *by: str, owners: DataFrame | None = None) -> None:
+    """Writes the partitions that ``df`` has and leaves the others; one file's rows are one partition value.
+
+    ``owners``, the partition values that are replaced, also empties those that have no row any more. Their folders are
+    deleted one by one after the write, so a run that breaks off leaves old rows, never too few, and can be repeated.
+    """
+    spark = df.sparkSession
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    if owners is None:
+        return
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in owners.select(*by).distinct().join(df.select(*by).distinct(), list(by), "left_anti").toLocalIterator():
+        fs, p, _ = _fs(spark, "/".join([path.rstrip("/"), *(named(c, str(row[c])) for c in by)]))
+        fs.delete(p, True)
 
 
 def reconcile(table: DataFrame, present: DataFrame, path: str, root: str) -> DataFrame:
