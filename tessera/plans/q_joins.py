@@ -11,9 +11,9 @@ from ..operators import windows as win
 from .registry import query
 
 
-@query("J01_target_resolution", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, w.id FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Brand#' || (l_partkey % 25) AS target FROM lineitem WHERE l_quantity > 48) l JOIN (SELECT p_brand, min(p_partkey) AS id FROM part GROUP BY p_brand) w ON w.p_brand = l.target")
+@query("J01_target_resolution", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, w.id FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Brand#' || (l_partkey % 25) AS target FROM lineitem) l JOIN (SELECT p_brand, min(p_partkey) AS id FROM part GROUP BY p_brand) w ON w.p_brand = l.target")
 def _(t):
-    edges = t.lineitem.where("l_quantity > 48").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("Brand#"), F.col("l_partkey") % 25).alias("target_key"))
+    edges = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("Brand#"), F.col("l_partkey") % 25).alias("target_key"))
     sym = t.part.select(F.col("p_brand").alias("binary_key"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"))
     return rel.resolve_targets(edges, sym).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "id")
 
@@ -53,14 +53,7 @@ def _(t):
     return t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
 
 
-@query("J05_edge_endpoints", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AND l_partkey < 1000")
-def _(t):
-    edges = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind"))
-    sym = t.supplier.select(F.col("s_suppkey").alias("id")).unionByName(t.part.where("p_partkey < 1000").select(F.col("p_partkey").alias("id"))).distinct()
-    return rel.relationships(edges, sym, t.supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("id")), ["A", "R"])
-
-
-@query("J05b_all_edge_endpoints", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AND l_partkey IN (SELECT p_partkey FROM part UNION SELECT s_suppkey FROM supplier)")
+@query("J05_edge_endpoints", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AND l_partkey IN (SELECT p_partkey FROM part UNION SELECT s_suppkey FROM supplier)")
 def _(t):
     edges = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind"))
     sym = t.supplier.select(F.col("s_suppkey").alias("id")).unionByName(t.part.select(F.col("p_partkey").alias("id"))).distinct()
@@ -72,9 +65,9 @@ def _(t):
     return rel.referencing(t.lineitem.select("l_orderkey", "l_partkey"), t.part.where("p_name = 'blue bolt'").select(F.col("p_partkey").alias("l_partkey")), "l_orderkey", "l_partkey")
 
 
-@query("J06b_owning_artifacts", "SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'PROMO' AND p_size > 45")
+@query("J06b_owning_artifacts", "SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'PROMO'")
 def _(t):
-    return t.lineitem.join(t.part.where("p_type = 'PROMO' and p_size > 45"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey").distinct()
+    return t.lineitem.join(t.part.where("p_type = 'PROMO'"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey").distinct()
 
 
 @query("J07_unresolved_targets", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY')")
@@ -161,10 +154,10 @@ def _(t):
     return t.orders.join(changed, "o_orderkey", "left_semi").select("o_custkey").distinct()
 
 
-@query("J15_code_reference_step", "SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey < 50 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_returnflag IN ('A', 'N') ORDER BY l_suppkey, l_partkey, l_returnflag")
+@query("J15_code_reference_step", "SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_returnflag IN ('A', 'N') ORDER BY l_suppkey, l_partkey, l_returnflag")
 def _(t):
     able = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    front = t.part.where("p_partkey < 50").select(F.col("p_partkey").alias("l_partkey"))
+    front = t.part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("l_partkey"))
     got = t.lineitem.where("l_returnflag in ('A', 'N')").select("l_suppkey", "l_partkey", "l_returnflag")
     return got.join(front, "l_partkey", "left_semi").join(able, "l_suppkey", "left_semi").distinct().orderBy("l_suppkey", "l_partkey", "l_returnflag")
 
@@ -193,16 +186,6 @@ def _(t):
 
 @query(
     "J19_point_in_interval",
-    "WITH s AS (SELECT p_partkey AS id, p_partkey * 3 AS a, p_partkey * 3 + p_size + 1 AS b FROM part), p AS (SELECT o_orderkey AS k, o_orderkey % 6000 AS x FROM orders WHERE o_orderkey < 3000) SELECT k, x, arg_min(id, (b - a, id)) AS id FROM p JOIN s ON a <= x AND x < b GROUP BY k, x",
-)
-def _(t):
-    spans = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3).alias("a"), (F.col("p_partkey") * 3 + F.col("p_size") + 1).alias("b"))
-    points = t.orders.where("o_orderkey < 3000").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 6000).alias("x"))
-    return rel.innermost_interval(points, spans, "x", "a", "b", "id", 64)
-
-
-@query(
-    "J19b_all_points_in_intervals",
     "WITH s AS (SELECT p_partkey AS id, p_partkey * 3 AS a, p_partkey * 3 + p_size + 1 AS b FROM part), p AS (SELECT o_orderkey AS k, o_orderkey % 6000 AS x FROM orders) SELECT k, x, arg_min(id, (b - a, id)) AS id FROM p JOIN s ON a <= x AND x < b GROUP BY k, x",
 )
 def _(t):
@@ -211,13 +194,7 @@ def _(t):
     return rel.innermost_interval(points, spans, "x", "a", "b", "id", 64)
 
 
-@query("J20_variant_choice", "SELECT l_orderkey, l_linenumber, l_partkey, v.s_suppkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey < 100) l JOIN (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey) v USING (l_partkey)")
-def _(t):
-    variant = ly.first_winner(t.lineitem.select("l_partkey", F.col("l_suppkey").alias("s_suppkey")), ["l_partkey"], "s_suppkey")
-    return t.lineitem.where("l_partkey < 100").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(variant, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "s_suppkey")
-
-
-@query("J20b_all_variant_choices", "SELECT l_orderkey, l_linenumber, l_partkey, v.s_suppkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l JOIN (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey) v USING (l_partkey)")
+@query("J20_variant_choice", "SELECT l_orderkey, l_linenumber, l_partkey, v.s_suppkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l JOIN (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey) v USING (l_partkey)")
 def _(t):
     variant = ly.first_winner(t.lineitem.select("l_partkey", F.col("l_suppkey").alias("s_suppkey")), ["l_partkey"], "s_suppkey")
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(variant, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "s_suppkey")
@@ -322,9 +299,9 @@ def _(t):
     return t.lineitem.select("l_suppkey", "l_returnflag").distinct()
 
 
-@query("U05_intersection_test", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)")
+@query("U05_intersection_test", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _(t):
-    return t.orders.join(t.lineitem.where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey")
+    return t.orders.join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey")
 
 
 @query("U06_apply_edits", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'added' ELSE 'base' END AS v FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 5 <> 0")

@@ -201,10 +201,10 @@ def _(t):
     return symbols(t)
 
 
-@query("P03_context_columns", "SELECT l_orderkey, l_linenumber, l_suppkey, s_name AS path, s_nationkey AS kind FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45")
+@query("P03_context_columns", "SELECT l_orderkey, l_linenumber, l_suppkey, s_name AS path, s_nationkey AS kind FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
 def _(t):
     ctx = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("path"), F.col("s_nationkey").alias("kind"))
-    return t.lineitem.where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_suppkey").join(ctx, "l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey", "path", "kind")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(ctx, "l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey", "path", "kind")
 
 
 @query("P04_narrow_projection", "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE p_size > 40")
@@ -280,12 +280,12 @@ def _(t):
     return s.page_with_more(t.supplier.select("s_suppkey"), ["s_suppkey"], 15)
 
 
-@query("L06_external_sort", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id)::BIGINT AS pos FROM documents WHERE n_chars > 3000")
+@query("L06_external_sort", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id)::BIGINT AS pos FROM documents")
 def _(t):
     from ..operators.windows import require_unique
     from pyspark.sql import Window
 
-    got = require_unique(t.documents.where("n_chars > 3000").select("doc_id", "n_chars"), "doc_id")
+    got = require_unique(t.documents.select("doc_id", "n_chars"), "doc_id")
     return got.withColumn("pos", F.row_number().over(Window.orderBy("n_chars", "doc_id")).cast("long"))
 
 
