@@ -17,6 +17,11 @@ def conflict_report(df: DataFrame, key: str, owner: str, label: str, least: int
     return one.groupBy(key).agg(F.count_distinct(owner).alias("owners"), F.array_join(F.array_sort(F.collect_set(label)), "; ").alias("labels")).where(F.col("owners") >= least)
 
 
+def definer_counts(df: DataFrame, key: str, definer: str, pos: str) -> DataFrame:
+    """(key, n, first): how many distinct definers a key has and the first by position; no list of them is made."""
+    return df.groupBy(key).agg(F.count_distinct(definer).alias("n"), F.min_by(definer, F.struct(pos, definer)).alias("first"))
+
+
 def bounded_count(df: DataFrame, most: int) -> DataFrame:
     """n: rows, counted until there are more than ``most``."""
     return df.limit(most + 1).agg(F.count("*").alias("n"))

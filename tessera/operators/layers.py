@@ -68,6 +68,14 @@ def bind(wanted: DataFrame, key: str, *providers: DataFrame) -> DataFrame:
     return out.select(*wanted.columns, value.alias("value"), which.alias("provider")).where("value is not null")
 
 
+def unbuilt(wanted: DataFrame, key: str, siblings: DataFrame, *providers: DataFrame) -> DataFrame:
+    """(key, error): wanted keys that are siblings of the same build and that no provider has; they are faults, not gaps."""
+    own = wanted.join(siblings.select(key).distinct(), key, "left_semi")
+    for p in providers:
+        own = own.join(p.where("value is not null").select(key), key, "left_anti")
+    return own.select(key, F.concat(F.lit("not built: "), F.col(key).cast("string")).alias("error"))
+
+
 def replace_file(base: DataFrame, new: DataFrame, file_col: str, files: DataFrame | None = None) -> DataFrame:
     """All rows of the files in ``new`` (or ``files``, so that a file can become empty) are replaced."""
     gone = (files if files is not None else new).select(file_col).distinct()

@@ -117,3 +117,63 @@ def gram_search(df: DataFrame, postings: DataFrame, key: str, text: str, query:
     wanted = sorted({q[i : i + n] for i in range(len(q) - n + 1)})
     hit = postings.where(F.col("gram").isin(*wanted)).groupBy(key).agg(F.count_distinct("gram").alias("g")).where(F.col("g") == len(wanted)).select(key)
     return df.join(hit, key, "left_semi").where(contains_folded(text, query))
+
+
+def overlay_select(facts: DataFrame, postings: dict[str, DataFrame], mode: str, query: str, name: str, key: str, order: Sequence[str], limit: int, after: dict | None = None) -> DataFrame:
+    """A page of facts by a query: ``exact``, ``prefix`` or ``substring``; the mode says which posting table is asked.
+
+    ``postings``: by mode, tables of (term, key): whole names, their leading grams, all grams, lower-cased. Grams only name
+    candidates, the name decides. A query shorter than a gram scans the names.
+    """
+    q, n = query.lower(), 3
+    if mode == "exact":
+        hit = postings["exact"].where(F.col("term") == q).select(key)
+    elif len(q) < n:
+        hit = facts.select(key)
+    elif mode == "prefix":
+        hit = postings["prefix"].where(F.col("term") == q[:n]).select(key)
+    elif mode == "substring":
+        terms = sorted({q[i : i + n] for i in range(len(q) - n + 1)})
+        hit = postings["substring"].where(F.col("term").isin(*terms)).groupBy(key).agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(terms)).select(key)
+    else:
+        raise ValueError(f"no mode: {mode}")
+    low = F.lower(name)
+    right = {"exact": low == q, "prefix": low.startswith(q), "substring": F.contains(low, F.lit(q))}[mode]
+    return page(facts.join(hit.distinct(), key, "left_semi").where(right), order, limit, after)
+
+
+def name_postings(facts: DataFrame, name: str, key: str) -> dict[str, DataFrame]:
+    """The posting tables that ``overlay_select`` asks."""
+    low = facts.select(F.lower(name).alias("low"), key)
+    return {"exact": low.select(F.col("low").alias("term"), key), "prefix": low.select(F.substring("low", 1, 3).alias("term"), key), "substring": gram_postings(facts, key, name).withColumnRenamed("gram", "term")}
+
+
+def completion_members(members: DataFrame, package: str, static: bool) -> DataFrame:
+    """Members that a completion offers: (id, name, kind, flags, package, depth), ``depth`` that of the declaring type.
+
+    No constructors, packages or modules; a static receiver has static members and types only; private members are left
+    out, and those without public or protected access outside their package; a field hides fields of its name further up.
+    """
+    types = F.col("kind").isin("class", "interface", "enum", "record", "annotation")
+    m = members.where(~F.col("kind").isin("ctor", "constructor", "package", "module") & (F.col("flags").bitwiseAND(PRIVATE) == 0))
+    m = m.where((F.col("flags").bitwiseAND(5) != 0) | (F.col("package") == package))
+    m = m.where(types | (F.col("flags").bitwiseAND(STATIC) != 0)) if static else m
+    nearest = m.where("kind = 'field'").groupBy("name").agg(F.min("depth").alias("__nearest"))
+    return m.join(nearest, "name", "left").where((F.col("kind") != "field") | (F.col("depth") == F.col("__nearest"))).drop("__nearest")
+
+
+def layer_trees(facts: DataFrame) -> DataFrame:
+    """(tree, key, value) views of one fact table (owner, kind, name, super, annotations, digest).
+
+    T: each type by its name; N: each simple name with the owners that have it; O: each owner with the count and the
+    order-free sum of its members' digests; E: each type with what it extends; A: each annotation with its owners.
+    """
+    types = facts.where("kind = 'type'")
+    text = lambda c: F.col(c).cast("string").alias("value")
+    t = types.select(F.lit("T").alias("tree"), F.col("owner").alias("key"), text("digest"))
+    n = types.select(F.lit("N").alias("tree"), F.col("name").alias("key"), text("owner"))
+    own = facts.where("kind != 'type'").groupBy("owner").agg(F.count("*").alias("n"), F.sum(F.col("digest").cast("decimal(38,0)")).alias("s"))
+    o = own.select(F.lit("O").alias("tree"), F.col("owner").alias("key"), F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")).alias("value"))
+    e = types.where("super is not null").select(F.lit("E").alias("tree"), F.col("owner").alias("key"), text("super"))
+    a = types.select(F.lit("A").alias("tree"), F.explode("annotations").alias("key"), text("owner"))
+    return t.unionByName(n).unionByName(o).unionByName(e).unionByName(a)

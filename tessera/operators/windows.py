@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..iterate import cut
 from .layers import first_winner
 
 
@@ -82,7 +83,25 @@ def sequence_edit(seq: DataFrame, key: str, pos: str, remove: DataFrame | None =
         s = s.join(remove.select(key), key, "left_anti")
     if insert is not None:
         s = s.unionByName(insert.select(key, F.col("at").cast("double").alias("__p"), F.lit(0).alias("__o")))
-    return s.select(key, (F.row_number().over(Window.orderBy("__p", "__o", key)) - 1).alias(pos))
+    return numbered(s, ["__p", "__o", key], pos).select(key, pos)
+
+
+def numbered(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of the whole; no task sees more than a range of it.
+
+    Rows are dealt by ranges and written as sorted parts; the parts' sizes, one number each, give every part its start.
+    Rows that are equal in all of ``order`` are in no particular order among themselves.
+    """
+    part, inner = "__part", "__inner"
+    dealt = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order])
+    kept = cut(dealt.withColumn(part, F.spark_partition_id()))
+    sizes = {r[part]: r.n for r in kept.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    start, total = {}, 0
+    for k in sorted(sizes):
+        start[k], total = total, total + sizes[k]
+    starts = df.sparkSession.createDataFrame(sorted(start.items()) or [(0, 0)], f"{part} int, __start long")
+    rows = kept.withColumn(inner, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col("__start") + F.col(inner)).drop(part, inner, "__start")
 
 
 def require_unique(df: DataFrame, *key: str) -> DataFrame:

@@ -107,7 +107,7 @@ def _(t):
 @query("A12_conflict_table", "SELECT l_partkey, count(*)::INT AS n, min(l_suppkey) AS first FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY l_partkey HAVING count(*) >= 2")
 def _(t):
     d = t.lineitem.select("l_partkey", "l_suppkey", F.col("l_suppkey").alias("pos"))
-    return ag.definers(d, "l_partkey", "l_suppkey", "pos").where("n >= 2").select("l_partkey", "n", "first")
+    return ag.definer_counts(d, "l_partkey", "l_suppkey", "pos").where("n >= 2").select("l_partkey", F.col("n").cast("int").alias("n"), "first")
 
 
 @query("A13_disjoint_index", "SELECT l_partkey, min(l_suppkey) AS definer FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY l_partkey HAVING count(*) = 1")

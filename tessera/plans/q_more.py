@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..iterate import shared_dir
+from ..operators import aggregates as ag
+from ..operators import search as s
 from ..operators import sets, walks
+from ..operators.layers import apply_edits, unbuilt
 from ..sources import records
+from ..sources import tables as sink
 from ..streaming import live
 from .registry import query
-from .tools import Catalog
+from .tools import Catalog, ok, reassemble, respond
 
 
 def _own(t, what: str) -> str:
@@ -27,11 +31,11 @@ def _named(prefix: str, c):
 
 
 def _methods(t):
-    s = t.supplier.select(_named("S", "s_suppkey").alias("owner"), F.lit("(I)V").alias("descriptor"), F.when(F.col("s_suppkey") % 4 == 0, 8).otherwise(1).alias("flags"), _named("p", F.col("s_suppkey") % 2).alias("package"))
+    low = t.supplier.select(_named("S", "s_suppkey").alias("owner"), F.lit("(I)V").alias("descriptor"), F.when(F.col("s_suppkey") % 4 == 0, 8).otherwise(1).alias("flags"), _named("p", F.col("s_suppkey") % 2).alias("package"))
     n_flags = F.when(F.col("n_nationkey") % 5 == 0, 2).when(F.col("n_nationkey") % 3 == 0, 0).otherwise(4)
     n = t.nation.select(_named("N", "n_nationkey").alias("owner"), F.when(F.col("n_nationkey") % 2 == 0, "(I)J").otherwise("(J)V").alias("descriptor"), n_flags.alias("flags"), _named("p", F.col("n_nationkey") % 2).alias("package"))
     r = t.region.select(_named("R", "r_regionkey").alias("owner"), F.lit("(I)V").alias("descriptor"), F.lit(1).alias("flags"), F.lit("q").alias("package"))
-    return s.unionByName(n).unionByName(r).select(F.concat("owner", F.lit(".m")).alias("id"), "owner", F.lit("m").alias("name"), "descriptor", "flags", "package")
+    return low.unionByName(n).unionByName(r).select(F.concat("owner", F.lit(".m")).alias("id"), "owner", F.lit("m").alias("name"), "descriptor", "flags", "package")
 
 
 def _supers(t):
@@ -306,6 +310,103 @@ def _(t):
     return d.groupBy("conv_id").agg(F.count_if(F.col("change") == "remove").alias("removed"), F.count_if(F.col("change") == "add").cast("int").alias("added"))
 
 
+# -- scans and layers ----------------------------------------------------------------------------------------------
+
+
+def _select(t, mode: str, q: str):
+    facts = t.part.select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("name"))
+    return s.overlay_select(facts, s.name_postings(facts, "name", "p_partkey"), mode, q, "name", "p_partkey", ["p_partkey"], 40, {"p_partkey": 5})
+
+
+_PN = "SELECT p_partkey, p_name || ' ' || p_type AS name FROM part WHERE p_partkey > 5"
+
+
+@query("S17b_overlay_exact", f"SELECT * FROM ({_PN}) WHERE lower(name) = 'blue bolt promo' ORDER BY p_partkey LIMIT 40")
+def _(t):
+    return _select(t, "exact", "Blue bolt PROMO")
+
+
+@query("S17c_overlay_prefix", f"SELECT * FROM ({_PN}) WHERE starts_with(lower(name), 'blue b') ORDER BY p_partkey LIMIT 40")
+def _(t):
+    return _select(t, "prefix", "Blue B")
+
+
+@query("S17d_overlay_substring", f"SELECT * FROM ({_PN}) WHERE contains(lower(name), 'lt pro') ORDER BY p_partkey LIMIT 40")
+def _(t):
+    return _select(t, "substring", "LT PRO")
+
+
+@query("S18b_member_cursor", "SELECT p_brand, p_name, p_partkey FROM part WHERE p_brand = 'Brand#7' AND starts_with(p_name, 'b') AND (p_name > 'blue bolt' OR (p_name = 'blue bolt' AND p_partkey > 100)) ORDER BY p_name, p_partkey LIMIT 30")
+def _(t):
+    """A page after a cursor, of a generation that a later one doesn't change."""
+    store = sink.Generations(t.spark, _own(t, "snapshots"))
+    rows = t.part.select("p_brand", "p_name", "p_partkey")
+    store.publish("one", rows)
+    store.activate("one")
+    snapshot = store.read("one")
+    store.publish("two", rows.limit(0))
+    store.activate("two")
+    own = snapshot.where("p_brand = 'Brand#7'").where(F.col("p_name").startswith("b"))
+    return s.page(own, ["p_name", "p_partkey"], 30, {"p_name": "blue bolt", "p_partkey": 100})
+
+
+@query(
+    "F14b_completion_members",
+    """WITH m AS (SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 4 WHEN 0 THEN 'ctor' WHEN 1 THEN 'field' WHEN 2 THEN 'method' ELSE 'class' END AS kind, p_size AS flags, CASE WHEN p_partkey % 3 = 0 THEN 'here' ELSE 'there' END AS package, p_partkey % 5 AS depth FROM part),
+    a AS (SELECT * FROM m WHERE kind <> 'ctor' AND (flags & 2) = 0 AND ((flags & 5) <> 0 OR package = 'here') AND (kind = 'class' OR (flags & 8) <> 0))
+    SELECT id, name, kind FROM a WHERE kind <> 'field' OR depth = (SELECT min(depth) FROM a b WHERE b.kind = 'field' AND b.name = a.name)""",
+)
+def _(t):
+    kind = F.when(F.col("p_partkey") % 4 == 0, "ctor").when(F.col("p_partkey") % 4 == 1, "field").when(F.col("p_partkey") % 4 == 2, "method").otherwise("class")
+    m = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("kind"), F.col("p_size").alias("flags"), F.when(F.col("p_partkey") % 3 == 0, "here").otherwise("there").alias("package"), (F.col("p_partkey") % 5).alias("depth"))
+    return s.completion_members(m, "here", True).select("id", "name", "kind")
+
+
+@query(
+    "P10b_layer_trees",
+    """SELECT 'T' AS tree, 'N' || n_nationkey AS key, n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT 'N', n_name, 'N' || n_nationkey FROM nation UNION ALL SELECT 'E', 'N' || n_nationkey, 'R' || n_regionkey FROM nation
+    UNION ALL SELECT 'A', a, 'N' || n_nationkey FROM nation, (VALUES ('x'), ('y')) v(a) WHERE a = 'x' OR n_nationkey % 2 = 0 UNION ALL SELECT 'O', 'N' || s_nationkey, count(*) || ':' || sum(s_suppkey * 7919)::BIGINT FROM supplier GROUP BY s_nationkey""",
+)
+def _(t):
+    n = t.nation.select(_named("N", "n_nationkey").alias("owner"), F.lit("type").alias("kind"), F.col("n_name").alias("name"), _named("R", "n_regionkey").alias("super"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"))).alias("annotations"), F.col("n_nationkey").cast("long").alias("digest"))
+    m = t.supplier.select(_named("N", "s_nationkey").alias("owner"), F.lit("method").alias("kind"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("super"), F.lit(None).cast("array<string>").alias("annotations"), (F.col("s_suppkey") * 7919).alias("digest"))
+    return s.layer_trees(n.unionByName(m))
+
+
+@query("J12b_unbuilt_siblings", "SELECT s_suppkey, 'not built: ' || s_suppkey AS error FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 2 <> 0")
+def _(t):
+    own = t.supplier.select("s_suppkey")
+    layer = lambda m, v: own.where(F.col("s_suppkey") % m == 0).withColumn("value", F.lit(v))
+    return unbuilt(own, "s_suppkey", own.where("s_suppkey % 7 = 0"), layer(3, "session"), layer(2, "built"))
+
+
+@query("K10b_edit_equals_rebuild", "SELECT 256 AS buckets, 256 AS same, count(*) FILTER (o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0) AS n FROM orders")
+def _(t):
+    """The bucket identities of an edited table are those of one that is built anew from the same rows."""
+    base = t.orders.select("o_orderkey", F.col("o_custkey").alias("v"))
+    gone, new = base.where("o_orderkey % 11 = 0"), base.where("o_orderkey % 7 = 0").withColumn("v", F.col("v") + 1)
+    edited = ag.merkle_buckets(apply_edits(base, gone, new, ["o_orderkey"]), "t", "o_orderkey", "v")
+    whole = base.where("o_orderkey % 11 <> 0 or o_orderkey % 7 = 0").withColumn("v", F.col("v") + (F.col("o_orderkey") % 7 == 0).cast("int"))
+    rebuilt = ag.merkle_buckets(whole, "t", "o_orderkey", "v").withColumnRenamed("sum", "other").withColumnRenamed("n", "m")
+    both = edited.join(rebuilt, "bucket", "full")
+    return both.agg(F.count("*").cast("int").alias("buckets"), F.count_if(F.col("sum") == F.col("other")).cast("int").alias("same"), F.sum("n").cast("long").alias("n"))
+
+
+@query("F17_argument_validation", "SELECT * FROM (VALUES ('fits', true), ('missing', false), ('small', false), ('extra', false), ('enum', false), ('either', true), ('both', false), ('not', false)) v(\"case\", ok)")
+def _(t):
+    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"enum": ["x", "y"]}}}}
+    forms = {"oneOf": [{"required": ["p"]}, {"required": ["q"]}]}
+    cases = [("fits", {"a": 1, "b": ["x"]}, schema), ("missing", {}, schema), ("small", {"a": 0}, schema), ("extra", {"a": 1, "c": 1}, schema), ("enum", {"a": 1, "b": ["z"]}, schema), ("either", {"p": 1}, forms), ("both", {"p": 1, "q": 1}, forms), ("not", 5, {"not": {"type": "integer"}})]
+    return t.spark.createDataFrame([(name, ok(value, rule)) for name, value, rule in cases], "case string, ok boolean")
+
+
+@query("L10_pages_and_reassembly", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 200")
+def _(t):
+    """A page of 200 rows, cut into pieces of 4 KB of JSON and put together again."""
+    rows = [r.asDict() for r in s.page(t.part.select("p_partkey", "p_name"), ["p_partkey"], 200).collect()]
+    return t.spark.createDataFrame([(r["p_partkey"], r["p_name"]) for r in reassemble(respond(rows, 4096))], "p_partkey long, p_name string")
+
+
 # -- tools ---------------------------------------------------------------------------------------------------------
 
 

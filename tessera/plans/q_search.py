@@ -282,11 +282,9 @@ def _(t):
 
 @query("L06_external_sort", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id)::BIGINT AS pos FROM documents")
 def _(t):
-    from ..operators.windows import require_unique
-    from pyspark.sql import Window
+    from ..operators.windows import numbered, require_unique
 
-    got = require_unique(t.documents.select("doc_id", "n_chars"), "doc_id")
-    return got.withColumn("pos", F.row_number().over(Window.orderBy("n_chars", "doc_id")).cast("long"))
+    return numbered(require_unique(t.documents.select("doc_id", "n_chars"), "doc_id"), ["n_chars", "doc_id"], "pos0").select("doc_id", "n_chars", (F.col("pos0") + 1).alias("pos"))
 
 
 @query("L07_ordered_merge", "SELECT name, id, layer FROM (SELECT p_name AS name, p_partkey AS id, 0 AS layer FROM part UNION ALL SELECT s_name, s_suppkey, 1 FROM supplier UNION ALL SELECT c_name, c_custkey, 2 FROM customer) ORDER BY name, id, layer LIMIT 100")
