@@ -16,6 +16,8 @@ from ..iterate import cut
 
 #: So many levels are kept as parts of a union before they are written as one table.
 PARTS = 16
+#: Nodes of a graph whose reachable pairs are made as such; above it cycles are contracted.
+SMALL = 2000
 
 
 def reach(edges: DataFrame, roots: DataFrame, levels: int | None, outgoing: bool = True, kinds: Sequence[str] | None = None, stop: DataFrame | None = None) -> DataFrame:
@@ -67,18 +69,23 @@ def reverse_closure(depends: DataFrame, roots: DataFrame, covered: DataFrame | N
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(id): nodes on a cycle, by trimming what has no way in or no way out and then closing what is left."""
-    e = edges.select("src", "dst").distinct()
-    left = cut(e)
-    while True:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = cut(kept)
-        same = kept.count() == left.count()
-        left = kept
-        if same:
+    """(id): nodes on a cycle; a node with an edge to itself is on one."""
+    label = strong_labels(edges)
+    large = label.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
+    loops = edges.where("src = dst").select(F.col("src").alias("id"))
+    return label.join(large, "comp", "left_semi").select("id").unionByName(loops).distinct()
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that have no way in or no way out, again and again: what is left can be on cycles."""
+    left, size = edges, edges.count()
+    while size:
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left, before = cut(kept.select("src", "dst")), size
+        size = left.count()
+        if size == before:
             break
-    got = _closed(left)
-    return got.where("src = dst").select(F.col("src").alias("id")).distinct()
+    return left
 
 
 def _closed(e: DataFrame) -> DataFrame:
@@ -90,28 +97,55 @@ def _closed(e: DataFrame) -> DataFrame:
         pairs = cut(pairs.unionByName(more).distinct())
         now = pairs.count()
         if now == size:
-            break
+            return pairs
         size = now
-    return pairs
+
+
+def strong_labels(edges: DataFrame) -> DataFrame:
+    """(id, comp) of the nodes that can be on cycles: their strong component's least node.
+
+    Each turn every node of the trimmed graph follows one of its edges, another in each turn. As all have one, these ways
+    end in cycles; pointer doubling finds their nodes and least names in logarithmically many joins over one row a node.
+    Each cycle is one node from then on, and edges are rewritten, until no edge is left. Space is linear in the edges. What
+    has SMALL nodes or fewer, at first or by then, is closed over pairs at once, which takes fewer steps.
+    """
+    e = cut(edges.select("src", "dst").where("src is not null and dst is not null and src != dst").distinct())
+    label = None
+    for turn in count():
+        e = _core(e)
+        if e.isEmpty():
+            break
+        if label is None:
+            label = cut(e.select(F.col("src").alias("id")).distinct().withColumn("comp", F.col("id")))
+        if e.select("src").distinct().count() <= SMALL:
+            r = _closed(e)
+            both = r.join(r.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+            least = both.groupBy(F.col("src").alias("comp")).agg(F.min("dst").alias("least"))
+            return cut(label.join(least, "comp", "left").select("id", F.least("comp", F.coalesce("least", "comp")).alias("comp")))
+        step = cut(e.groupBy("src").agg(F.min_by("dst", F.struct(F.xxhash64("dst", F.lit(turn)), "dst")).alias("to")).select(F.col("src").alias("v"), "to", F.least("src", "to").alias("least")))
+        for _ in range(max(1, step.count().bit_length())):
+            on = step.select(F.col("v").alias("to"), F.col("to").alias("then"), F.col("least").alias("more"))
+            step = cut(step.join(on, "to").select("v", F.col("then").alias("to"), F.least("least", "more").alias("least")))
+        ring = cut(step.join(step.select(F.col("to").alias("v")).distinct(), "v", "left_semi").select("v", "least"))
+        name = lambda c, other: e.join(ring.select(F.col("v").alias(c), F.col("least").alias("__n")), c, "left").select(F.coalesce("__n", c).alias(c), other)
+        e = cut(name("src", "dst"))
+        e = cut(name("dst", "src").where("src != dst").select("src", "dst").distinct())
+        label = cut(label.join(ring.select(F.col("v").alias("comp"), "least"), "comp", "left").select("id", F.coalesce("least", "comp").alias("comp")))
+    if label is None:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("comp")).limit(0)
+    return label
 
 
 def components(edges: DataFrame, nodes: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
     """(id, comp, final): strongly connected components, named by their least node.
 
-    A component is final only if nothing that it reaches is unknown. Nodes that cannot be on a cycle are trimmed first, so
-    reachability is closed over the cyclic core alone.
+    A component is final only if nothing that it reaches is unknown.
     """
     ids = nodes.select("id").distinct()
-    e = edges.select("src", "dst").distinct()
-    core = cycles(e)
-    inner = e.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    r = _closed(inner)
-    both = r.join(r.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    comp = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("c"))
-    out = ids.join(comp, "id", "left").select("id", F.least(F.col("id"), F.coalesce("c", "id")).alias("comp"))
+    out = ids.join(strong_labels(edges), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
     if unknown is None:
         return out.withColumn("final", F.lit(True))
-    bad = reverse_closure(e, unknown.select("id")).withColumn("__bad", F.lit(True))
+    bad = reverse_closure(edges.select("src", "dst").distinct(), unknown.select("id")).withColumn("__bad", F.lit(True))
     bad = out.join(bad, "id").select("comp").distinct().withColumn("__bad", F.lit(True))
     return out.join(bad, "comp", "left").select("id", "comp", F.col("__bad").isNull().alias("final"))
 

@@ -41,6 +41,7 @@ def resolve_inherited(edges: DataFrame, members: DataFrame, parents: DataFrame,
         step = rest.join(parents, rest["at"] == parents["child"]).select("src", "owner", "name", F.col("parent").alias("at")).distinct()
         open_ = cut(step.join(visited, ["src", "owner", "name", "at"], "left_anti"))
         visited = visited.unionByName(open_)
+        visited = visited if (level + 1) % 16 else cut(visited)
         if open_.isEmpty():
             break
     return done

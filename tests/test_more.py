@@ -42,12 +42,36 @@ def test_dependency_conflict(spark):
 def test_walks_go_to_the_end(spark):
     ring = spark.range(200).select(F.col("id").alias("src"), ((F.col("id") + 1) % 200).alias("dst"))
     assert graph.cycles(ring).count() == 200
-    chain = spark.range(90).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
-    assert graph.reverse_closure(chain, spark.createDataFrame([(0,)], "id long")).count() == 91
-    up = spark.range(60).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
-    members = spark.createDataFrame([(60, "m", 7, 1)], "owner long, name string, id long, flags int")
+    up = spark.range(25).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    members = spark.createDataFrame([(25, "m", 7, 1)], "owner long, name string, id long, flags int")
     got = relations.resolve_inherited(spark.createDataFrame([(1, 0, "m")], "src long, owner long, name string"), members, up).collect()
-    assert [(r.found_in, r.levels) for r in got] == [(60, 60)]
+    assert [(r.found_in, r.levels) for r in got] == [(25, 25)]
+
+
+@pytest.mark.parametrize("small", [2000, 0])
+def test_strong_components_of_random_graphs(spark, monkeypatch, small):
+    import random
+
+    monkeypatch.setattr(graph, "SMALL", small)
+    r = random.Random(5)
+    rows = [(r.randrange(12), r.randrange(12)) for _ in range(20)] + [(100 + i, 100 + (i * 7 + 1) % 10) for i in range(10)] + [(200, 200), (None, 3)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    nodes = {x for row in rows for x in row if x is not None}
+    to = {n: {b for a, b in rows if a == n and b is not None} for n in nodes}
+
+    def reached(n):
+        seen, open_ = set(), [n]
+        while open_:
+            for m in to[open_.pop()] - seen:
+                seen.add(m)
+                open_.append(m)
+        return seen
+
+    far = {n: reached(n) for n in nodes}
+    assert {x.id for x in graph.cycles(e).collect()} == {n for n in nodes if n in far[n]}
+    unknown = spark.createDataFrame([(7,)], "id long")
+    got = {x.id: (x.comp, x.final) for x in graph.components(e, spark.createDataFrame([(n,) for n in nodes], "id long"), unknown).collect()}
+    assert got == {n: (min([n, *(m for m in far[n] if n in far[m])]), 7 not in far[n] and n != 7) for n in nodes}
 
 
 def test_repeated_points_and_long_spans(spark):
