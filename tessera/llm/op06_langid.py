@@ -91,22 +91,23 @@ class Model:
         self.code = codebook(len(self.languages))
         target = self.code[[self.languages.index(v) for v in y]].astype(np.float32)
         back = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-        self.w, self.b = self._fit(x[~back], target[~back])
+        self.w, self.b = self._fit(x, target, ~back)
         seen = back if back.any() else ~back
-        wrong = ((x[seen] @ self.w + self.b) * target[seen] <= 0).mean(axis=0) if len(y) else np.zeros(0)
+        wrong = ((x @ self.w + self.b) * target <= 0)[seen].mean(axis=0) if len(y) else np.zeros(0)
         wrong = np.clip(wrong, 0.005, 0.495)
         weight = np.log((1 - wrong) / wrong)
         self.weight = weight / max(weight.sum(), 1e-9)
 
     @staticmethod
-    def _fit(x: np.ndarray, t: np.ndarray, rounds: int = 200, rate: float = 4.0, shrink: float = 1e-4):
-        """Logistic regression of all bits at once, by accelerated full gradients."""
+    def _fit(x: np.ndarray, t: np.ndarray, use: np.ndarray, rounds: int = 200, rate: float = 4.0, shrink: float = 1e-4):
+        """Logistic regression of all bits at once over the rows in ``use``, by accelerated full gradients."""
         w = np.zeros((x.shape[1], t.shape[1]), np.float32)
         b = np.zeros(t.shape[1], np.float32)
         vw, vb = w.copy(), b.copy()
+        share = use[:, None].astype(np.float32) / max(use.sum(), 1)
         for _ in range(rounds if len(x) else 0):
             aw, ab = w + 0.9 * vw, b + 0.9 * vb
-            pull = t / (1 + np.exp(np.clip((x @ aw + ab) * t, -30, 30))) / len(x)
+            pull = (t / (1 + np.exp(np.clip((x @ aw + ab) * t, -30, 30))) * share).astype(np.float32)
             vw = 0.9 * vw + rate * (x.T @ pull - shrink * aw)
             vb = 0.9 * vb + rate * pull.sum(axis=0)
             w, b = w + vw, b + vb
@@ -155,12 +156,24 @@ def sampled(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     few = sampled(rows, "id", train_rows).select("text", "lang", F.xxhash64("id", "lang", "text").alias("key"))
-    # in an order that doesn't depend on how the rows are dealt; rows with equal keys are equal
-    held = few.mapInArrow(_sparse, "key long, lang string, at array<int>, v array<float>").toArrow().sort_by("key")
-    x = np.zeros((held.num_rows, DIM), np.float32)
-    for i, (at, v) in enumerate(zip(held["at"], held["v"], strict=True)):
-        x[i, at.values.to_numpy()] = v.values.to_numpy()
-    return Model(x, held["lang"].to_pylist())
+    x, y = _matrix(few.mapInArrow(_sparse, "key long, lang string, at array<int>, v array<float>").toArrow())
+    pa.default_memory_pool().release_unused()
+    return Model(x, y)
+
+
+def _matrix(held: pa.Table) -> tuple[np.ndarray, list[str]]:
+    """Features and languages in the order of the keys, however the rows were dealt; rows with equal keys are equal."""
+    order = np.argsort(held["key"].to_numpy(), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    x, n = np.zeros((held.num_rows, DIM), np.float32), 0
+    for batch in held.to_batches():
+        at, v = batch.column(2), batch.column(3)
+        ends, cols, values = at.offsets.to_numpy(), at.values.to_numpy(), v.values.to_numpy()
+        for i in range(batch.num_rows):
+            x[place[n + i], cols[ends[i] : ends[i + 1]]] = values[ends[i] : ends[i + 1]]
+        n += batch.num_rows
+    return x, held["lang"].take(pa.array(order)).to_pylist()
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
