@@ -43,12 +43,12 @@ N, NUM, DEN = 5, 75, 100
 FRAGMENTS = 8
 #: A shingle is common from so many occurrences on; at most COMMON_MAX shingles are held as common. Those with a hash below
 #: COUNTED, which come first in the order of the rare ones, are counted exactly, others as far as batches show them.
-COMMON, COMMON_MAX, COUNTED = 16, 1 << 20, 1 << 62
+COMMON, COMMON_MAX, COUNTED = 16, 1 << 20, 1 << 63
 #: Star rounds before the exact step: one where any components meet, then more, to ROUNDS at most, as long as that step
 #: would look at more than WORK pairs a posting and the round before found links among one in YIELD of its pairs.
 ROUNDS, WORK, YIELD = 6, 4, 8
 #: Ratio of sizes in a band of the exact step.
-BAND = 1.1
+BAND = 1.2
 
 def head_size(n: np.ndarray | int, num: int = NUM, den: int = DEN):
     """Shingles that must be compared so that no pair of the similarity is missed."""
@@ -62,18 +62,18 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 
 
 def _common(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(h, c): of about two million at a time the shingles with a hash below COUNTED, and others that come three times."""
+    """(h, c): of about four million at a time the shingles with a hash below COUNTED, and others that come twice."""
     held, total = [], 0
 
     def counted():
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        keep = (c >= 3) | (h < U(COUNTED))
+        keep = (c >= 2) | (h < U(COUNTED))
         return pa.RecordBatch.from_arrays([pa.array(as_long(h[keep])), pa.array(c[keep].astype(np.int64))], ["h", "c"])
 
     for _, _, sets in _sets(batches, n):
         held += sets
         total += sum(map(len, sets))
-        if total >= 2_000_000:
+        if total >= 4_000_000:
             yield counted()
             held, total = [], 0
     if total:
