@@ -113,9 +113,15 @@ def format_chats(rows: DataFrame, template: Template | None = None, conv_col: st
     return turns.mapInArrow(scan, PIECES)
 
 
-def digests(pieces: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per conversation what its pieces say when they are parsed again; reads each partition once, in order."""
+def digests(pieces: DataFrame, template: Template | None = None, in_order: bool = True) -> DataFrame:
+    """Per conversation what its pieces say when they are parsed again; reads each partition once, in order.
+
+    ``in_order``: the pieces are as ``format_chats`` gives them. Pieces that were stored and read again aren't: they are
+    dealt by conversation and sorted first.
+    """
     t = template or Template()
+    if not in_order:
+        pieces = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "n_errors"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

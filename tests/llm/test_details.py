@@ -293,6 +293,14 @@ def test_ties_of_mixing_keys(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_stored_pieces_have_the_same_digests(spark, tmp_path):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} says {t}") for c in range(30) for t in range(6)]
+    pieces = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    pieces.repartition(7, "turn_no").write.parquet(str(tmp_path / "p"))
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    assert key(chat.digests(spark.read.parquet(str(tmp_path / "p")), in_order=False)) == key(chat.digests(pieces))
+
+
 def test_names_inside_an_article():
     w = page.Weights()
     html = "<article><section class='legal'><p>Legal text here</p></section><section class='search-engines'><p>How search works</p></section><div class='ad'>buy</div><section class='comments'><p>I like it</p></section><p>The end.</p></article>"
