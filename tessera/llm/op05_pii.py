@@ -189,15 +189,16 @@ def pseudonym(m: Column, key: Column) -> Column:
 
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col``; ``count_col``, if given, is added: values replaced (null text: 0)."""
-    t, k = F.col(text_col), F.lit(key)
-    found = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
-    new = F.transform(found, lambda m: pseudonym(m, k))
-    pieces = F.split(t, PATTERN, -1)
-    joined = F.array_join(F.flatten(F.transform(pieces, lambda p, i: F.array(p, F.coalesce(F.get(new, i), F.lit(""))))), "")
-    has = t.rlike("[0-9@]")
-    out = docs
+    """``docs`` with pseudonyms in ``text_col``; ``count_col``, if given, is added: values replaced (null text: 0).
+
+    Every piece of a text is taken up once, with the value that follows it, so a text costs in proportion to its values.
+    """
+    t = F.col(text_col)
+    inner = next(x for x in (f"__pieces{i or ''}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    last = F.lit(None).cast("string")
+    pairs = F.zip_with(F.split(t, PATTERN, -1), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda p, m: F.struct(p.alias("before"), m.alias("old"), F.when(m.isNotNull(), pseudonym(m, F.lit(key))).otherwise(last).alias("new")))
+    out = docs.withColumn(inner, F.when(t.rlike("[0-9@]"), pairs))
+    joined = F.array_join(F.flatten(F.transform(inner, lambda x: F.array(x["before"], F.coalesce(x["new"], F.lit(""))))), "")
     if count_col:
-        changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
-        out = out.withColumn(count_col, F.when(has, changed).otherwise(0).cast("int"))
-    return out.withColumn(text_col, F.when(has, joined).otherwise(t))
+        out = out.withColumn(count_col, F.when(F.col(inner).isNotNull(), F.size(F.filter(inner, lambda x: x["old"] != x["new"]))).otherwise(0).cast("int"))
+    return out.withColumn(text_col, F.when(F.col(inner).isNotNull(), joined).otherwise(t)).drop(inner)
