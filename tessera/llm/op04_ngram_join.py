@@ -247,8 +247,9 @@ class _Join:
     def star(self, live: DataFrame, turn: int) -> DataFrame:
         """Pairs of a shingle's members with the leads of its bands: the class with the fewest shingles before this one, in later turns also of another component each time."""
         c = F.col
-        before, wide = F.floor(c("p") * 20 / c("n")), F.floor(F.log("n") / math.log(self.den / self.num))
-        order = F.struct(before, F.xxhash64("comp", F.lit(turn)), "cid") if turn else F.struct(before, "n", "cid")
+        # at first by the exact share, so that a group's centre leads under all of its shingles and pairs repeat
+        share, wide = c("p") / c("n"), F.floor(F.log("n") / math.log(self.den / self.num))
+        order = F.struct(F.floor(share * 20), F.xxhash64("comp", F.lit(turn)), "cid") if turn else F.struct(share, "cid")
         lead = live.groupBy("h", wide).agg(F.min_by(F.struct("cid", "n", "p", "comp"), order).alias("y")).select("h", "y")
         pairs = live.alias("x").join(lead, "h").where("comp != y.comp").where(self.fits())
         return pairs.select(c("x.cid").alias("a"), c("y.cid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).distinct()
