@@ -16,7 +16,7 @@ def shadowed_members(members: DataFrame, shape: Sequence[str], nearest: str, tie
     return first_winner(members, shape, nearest, tie)
 
 
-def numbered(df: DataFrame, key: Sequence[str], order: Sequence, name: str) -> DataFrame:
+def occurrences(df: DataFrame, key: Sequence[str], order: Sequence, name: str) -> DataFrame:
     """``slot``: the name for the first of a key, name#n for the n-th."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("__n", n).withColumn("slot", F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), F.col("__n").cast("string")))).drop("__n")

@@ -227,7 +227,7 @@ def _(t):
 
 @query("W04_occurrence_numbering", "SELECT p_partkey, p_name || CASE WHEN n = 1 THEN '' ELSE '#' || n END AS slot FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
 def _(t):
-    return win.numbered(t.part.select("p_partkey", "p_name"), ["p_name"], ["p_partkey"], "p_name").select("p_partkey", "slot")
+    return win.occurrences(t.part.select("p_partkey", "p_name"), ["p_name"], [F.col("p_partkey").asc_nulls_last()], "p_name").select("p_partkey", "slot")
 
 
 @query("W05_gaps_and_islands", "SELECT o_orderstatus, min(o_orderkey) AS first, max(o_orderkey) + 1 AS \"end\" FROM (SELECT o_orderstatus, o_orderkey, o_orderkey - row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS g FROM orders) GROUP BY o_orderstatus, g")

@@ -3,12 +3,14 @@
 import inspect
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import fingerprint as fp
 from tessera.functions import text as tx
 from tessera.operators import aggregates, graph, layers, relations, search, sets, windows
+from tessera.plans import ORACLES, QUERIES
 from tessera.streaming import deltas
 
 
@@ -164,6 +166,19 @@ def test_myers_scripts():
         assert sorted([j for _, j in keep] + [j for c, _, j in s if c == "add"]) == list(range(len(b)))
 
 
+def test_occurrences_count_within_a_name_and_null_keys_last(spark, tmp_path):
+    part = [(5, "a"), (None, "a"), (1, "a"), (5, "a"), (None, "a"), (2, None), (3, None), (7, ""), (6, ""), (9, "a#2")]
+    spark.createDataFrame(part, "p_partkey long, p_name string").repartition(3).write.parquet(str(tmp_path / "part.parquet"))
+    name = "W04_occurrence_numbering"
+    got = sorted((str(r.p_partkey), str(r.slot)) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted((str(k), str(slot)) for k, slot in c.sql(ORACLES[name]).fetchall())
+    assert ("1", "a") in got and ("None", "a#5") in got and ("7", "#2") in got and got.count(("9", "a#2")) == 1
+    d = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "k string, pos int")
+    assert sorted(tuple(r) for r in windows.numbered(d, ["k"], "n").select("k", "n").collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
 def test_unique_keys_are_enforced(spark):
     d = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(Exception, match="duplicate key"):
