@@ -18,9 +18,14 @@ def contains_folded(c, needle: str) -> Column:
 
 
 def grams(c, n: int) -> Column:
-    """Distinct n-character grams; texts shorter than n have none."""
+    """Distinct n-character grams; texts shorter than n have none.
+
+    They are cut off as blocks of n side by side, once from each of the first n places, so a text costs in proportion to
+    its length; a substring by place would be sought from the beginning for each gram.
+    """
     s = col(c)
-    return F.when(F.length(s) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    blocks = [F.regexp_extract_all(F.substr(s, F.lit(first)), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for first in range(1, n + 1)]
+    return F.when(F.length(s) >= n, F.array_distinct(F.concat(*blocks))).otherwise(F.array().cast("array<string>"))
 
 
 def dotted_prefixes(c) -> Column:

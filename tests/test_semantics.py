@@ -2,6 +2,7 @@
 
 import inspect
 import random
+import time
 
 import duckdb
 import pytest
@@ -54,6 +55,20 @@ def test_name_paths(spark):
 def test_grams_of_short_and_wide_texts(spark):
     d = spark.createDataFrame([("",), ("ab",), ("a😀b",), ("aaaa",)], "s string")
     assert [r.g for r in d.select(tx.grams("s", 3).alias("g")).collect()] == [[], [], ["a😀b"], ["aaa"]]
+    d = spark.createDataFrame([(None,), ("a\n😀b\r\né😀",), ("😀😀😀😀",), ("a\u0301\u2028\u0085\0x",)], "s string")
+    brute = lambda s, n: {s[i : i + n] for i in range(len(s or "") - n + 1)}
+    for n in (1, 2, 3, 5):
+        for r in d.select("s", tx.grams("s", n).alias("g")).collect():
+            assert set(r.g) == brute(r.s, n) and len(r.g) == len(set(r.g))
+
+
+def test_grams_of_a_long_text_cost_in_proportion_to_it(spark):
+    text = "".join(random.Random(5).choices("abcdeé😀 \n", k=60_000))
+    d = spark.createDataFrame([(1, text)], "id int, s string")
+    began = time.time()
+    got = {r.gram for r in search.gram_postings(d, "id", "s").collect()}
+    assert time.time() - began < 15
+    assert got == {text[i : i + 3] for i in range(len(text) - 2)}
 
 
 def test_fingerprints_are_order_free_and_add(spark):
