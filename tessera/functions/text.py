@@ -205,7 +205,7 @@ def substituted(c, variables, arguments) -> Column:
 def varint(c) -> Column:
     """A whole number from 0 on as the hex of its groups of seven bits, least first, the top bit set on all but the last."""
     n = col(c).cast("long")
-    groups = F.when(n == 0, F.lit(1)).otherwise(F.ceil((F.floor(F.log2(n.cast("double"))) + 1) / 7)).cast("int")
+    groups = F.when(n >= 0, F.ceil(F.length(F.bin(n)) / 7)).cast("int")
     byte = lambda i: F.call_function("shiftrightunsigned", n, F.lit(7) * i).bitwiseAND(127) + F.when(i < groups - 1, 128).otherwise(0)
     return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), lambda i: hex_padded(byte(i), 2)), "")
 

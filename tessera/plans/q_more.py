@@ -268,7 +268,7 @@ def _(t):
     ELSE printf('%02x%02x%02x', (o_orderkey & 127) | 128, ((o_orderkey >> 7) & 127) | 128, o_orderkey >> 14) END AS bytes, o_orderkey AS again FROM orders""",
 )
 def _(t):
-    """Keys below 2 ** 21."""
+    """Varints of keys of any size from 0 on; those of the SQL end at 2 ** 21, from where on its third byte runs over."""
     return t.orders.select("o_orderkey", tx.varint("o_orderkey").alias("bytes")).select("o_orderkey", "bytes", tx.varint_value("bytes").alias("again"))
 
 

@@ -204,6 +204,11 @@ def test_functions_at_their_edges(spark):
     value = lambda *c: tuple(one.select(*[x.alias(str(i)) for i, x in enumerate(c)]).first())
     n = [0, 1, 127, 128, 300, 2**31, 2**62 + 5]
     assert value(*[tx.varint_value(tx.varint(F.lit(x))) for x in n]) == tuple(n) and value(tx.varint(F.lit(300))) == ("ac02",)
+    edges = [m for k in range(7, 64, 7) for m in (2**k - 1, 2**k, 2**k + 1) if m < 2**63]
+    for m, b in zip(edges, value(*[tx.varint(F.lit(m)) for m in edges])):
+        groups = [m >> s & 127 for s in range(0, m.bit_length(), 7)]
+        assert bytes.fromhex(b) == bytes(x | 128 for x in groups[:-1]) + bytes(groups[-1:])
+    assert value(tx.varint(F.lit(-1)), tx.varint(F.lit(None).cast("long"))) == (None, None)
     assert value(tx.offset_of(F.lit("ab\n\nc"), F.lit(2), F.lit(1)), tx.offset_of(F.lit("ab\n\nc"), F.lit(1), F.lit(1)), tx.offset_of(F.lit("ab"), F.lit(3), F.lit(0)), tx.offset_of(F.lit("é😀x"), F.lit(0), F.lit(2))) == (5, None, None, 2)
     assert value(tx.json_canonical(F.lit('{"b": [1, {"z":1,"a":2}], "a": null}')), tx.json_canonical(F.lit("{x"))) == ('{"a":null,"b":[1,{"a":2,"z":1}]}', None)
     assert value(tx.json_pointer(F.lit('{"a/b":{"c~d":[5]}}'), "/a~1b/c~0d/0")) == ("5",)
