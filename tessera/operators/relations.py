@@ -80,16 +80,27 @@ def unresolved(targets: DataFrame, known: DataFrame, target: str, key: str) -> D
 def overrides(methods: DataFrame, extends: DataFrame, transitive: bool = True) -> DataFrame:
     """(child_id, parent_id): same name and parameters in a supertype; neither private nor static, parent accessible.
 
-    ``methods``: (id, owner, name, params, flags, package); ``extends``: (child, parent) of owners.
+    ``methods``: (id, owner, name, params, flags, package); ``extends``: (child, parent) of owners. A pair can only come
+    twice by an id that has several rows, so only pairs of such ids are made distinct; the others, which may be as many as
+    the square of the methods of one shape, go from the join straight to the result.
     """
     from .graph import closure_pairs
 
-    up = closure_pairs(extends, "child", "parent", None if transitive else 1)
-    able = methods.where(F.col("flags").bitwiseAND(10) == 0)
-    child = able.select(F.col("id").alias("child_id"), F.col("owner").alias("child"), "name", "params", F.col("package").alias("child_package"))
-    parent = able.select(F.col("id").alias("parent_id"), F.col("owner").alias("parent"), "name", "params", F.col("package").alias("parent_package"), F.col("flags").alias("parent_flags"))
-    got = child.join(up.select("child", "parent"), "child").join(parent, ["parent", "name", "params"])
-    return got.where((F.col("parent_flags").bitwiseAND(5) != 0) | (F.col("child_package") == F.col("parent_package"))).select("child_id", "parent_id").distinct()
+    up = closure_pairs(extends, "child", "parent", None if transitive else 1).select("child", "parent")
+    able = methods.where(F.col("flags").bitwiseAND(10) == 0).select("id", "owner", "name", "params", "flags", "package")
+
+    def pairs(of: DataFrame, over: DataFrame) -> DataFrame:
+        child = of.select(F.col("id").alias("child_id"), F.col("owner").alias("child"), "name", "params", F.col("package").alias("child_package"))
+        parent = over.select(F.col("id").alias("parent_id"), F.col("owner").alias("parent"), "name", "params", F.col("package").alias("parent_package"), F.col("flags").alias("parent_flags"))
+        got = child.join(up, "child").join(parent, ["parent", "name", "params"])
+        return got.where((F.col("parent_flags").bitwiseAND(5) != 0) | (F.col("child_package") == F.col("parent_package"))).select("child_id", "parent_id")
+
+    many = cut(able.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id")))
+    if many.isEmpty():
+        return pairs(able, able)
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    once, more = able.join(many, same, "left_anti"), able.join(many, same, "left_semi").distinct()
+    return pairs(once, once).unionByName(pairs(more, able).unionByName(pairs(once, more)).distinct())
 
 
 def keyed_diff(before: DataFrame, after: DataFrame, key: Sequence[str], value: str) -> DataFrame:

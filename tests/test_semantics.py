@@ -224,6 +224,23 @@ def test_version_guard_stream(spark, tmp_path):
     assert sorted((r.k, r.version) for r in spark.sql("select * from guarded").collect()) == [("a", 1), ("a", 3), ("a", 4), ("b", 5)]
 
 
+def test_overrides_are_made_distinct_only_for_repeated_ids(spark):
+    r = random.Random(7)
+    cols = "id int, owner string, name string, params string, flags int, package string"
+    ext = [("C", "B"), ("B", "A"), ("C", "A"), ("A", None)]
+    up = {("C", "B"), ("C", "A"), ("B", "A")}
+    row = lambda i: (i, r.choice("ABC"), r.choice("xy"), r.choice("pq"), r.choice([0, 1, 2, 4, 8]), r.choice("mn"))
+    single, repeated = [row(i) for i in range(60)], [row(r.choice([None, *range(12)])) for _ in range(60)]
+    for rows in (single, repeated, repeated + single[20:]):
+        able = [x for x in rows if not x[4] & 10]
+        want = {(c[0], p[0]) for c in able for p in able if (c[1], p[1]) in up and c[2:4] == p[2:4] and (p[4] & 5 or c[5] == p[5])}
+        df = relations.overrides(spark.createDataFrame(rows, cols), spark.createDataFrame(ext, "child string, parent string"))
+        got = [tuple(x) for x in df.collect()]
+        assert len(got) == len(want) > 20 and set(got) == want
+        if rows is single:  # nothing is held of the pairs, which are quadratic in the methods of one shape
+            assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_class_files(spark, tmp_path):
     import os
     import shutil
