@@ -23,9 +23,17 @@ def occurrences(df: DataFrame, key: Sequence[str], order: Sequence, name: str) -
 
 
 def islands(df: DataFrame, by: Sequence[str], pos: str) -> DataFrame:
-    """Maximal runs of consecutive positions as half-open intervals [first, end)."""
-    rank = F.dense_rank().over(Window.partitionBy(*by).orderBy(pos))
-    return df.select(*by, pos, (F.col(pos) - rank).alias("__g")).groupBy(*by, "__g").agg(F.min(pos).alias("first"), (F.max(pos) + 1).alias("end")).drop("__g")
+    """Maximal runs of consecutive positions as half-open intervals [first, end); a position that repeats counts once.
+
+    Positions are ranked over all of ``by`` together, by ranges as in ``numbered``: within a run place and rank grow alike,
+    so only their difference tells runs apart, and no task sees more than a range, however few values ``by`` has.
+    """
+    part, rank = "__part", "__rank"
+    dealt = df.select(*by, pos).repartitionByRange(*[F.col(c) for c in (*by, pos)]).withColumn(part, F.spark_partition_id())
+    ranked = cut(dealt.withColumn(rank, F.dense_rank().over(Window.partitionBy(part).orderBy(*by, pos))))
+    starts = _starts(ranked, part, F.max(rank))
+    g = F.col(pos) - (F.col("__start") + F.col(rank))
+    return ranked.join(F.broadcast(starts), part).select(*by, pos, g.alias("__g")).groupBy(*by, "__g").agg(F.min(pos).alias("first"), (F.max(pos) + 1).alias("end")).drop("__g")
 
 
 def common_prefix(a: DataFrame, b: DataFrame, by: Sequence[str], pos: str, item: str, reverse: bool = False) -> DataFrame:
@@ -95,13 +103,18 @@ def numbered(df: DataFrame, order: Sequence, name: str) -> DataFrame:
     part, inner = "__part", "__inner"
     dealt = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order])
     kept = cut(dealt.withColumn(part, F.spark_partition_id()))
-    sizes = {r[part]: r.n for r in kept.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    starts = _starts(kept, part, F.count("*"))
+    rows = kept.withColumn(inner, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col("__start") + F.col(inner)).drop(part, inner, "__start")
+
+
+def _starts(kept: DataFrame, part: str, size: Column) -> DataFrame:
+    """(part, __start): the sizes of the parts before each, as one number a part comes to the driver."""
+    sizes = {r[part]: r.n for r in kept.groupBy(part).agg(size.alias("n")).collect()}
     start, total = {}, 0
     for k in sorted(sizes):
         start[k], total = total, total + sizes[k]
-    starts = df.sparkSession.createDataFrame(sorted(start.items()) or [(0, 0)], f"{part} int, __start long")
-    rows = kept.withColumn(inner, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
-    return rows.join(F.broadcast(starts), part).withColumn(name, F.col("__start") + F.col(inner)).drop(part, inner, "__start")
+    return kept.sparkSession.createDataFrame(sorted(start.items()) or [(0, 0)], f"{part} int, __start long")
 
 
 def require_unique(df: DataFrame, *key: str) -> DataFrame:

@@ -241,6 +241,29 @@ def test_overrides_are_made_distinct_only_for_repeated_ids(spark):
             assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_islands_by_ranges(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(k, p) for k in ("a", "b", None) for p in r.choices(range(-20, 300), k=250)] + [("a", None), ("a", None), ("c", 5)]
+    want = []
+    for k in {k for k, _ in rows}:
+        have = {p for q, p in rows if q == k and p is not None}
+        want += [(k, p, next(e for e in range(p + 1, 400) if e not in have)) for p in have if p - 1 not in have]
+    got = [tuple(x) for x in windows.islands(spark.createDataFrame(rows, "k string, p long"), ["k"], "p").collect()]
+    assert sorted(got, key=str) == sorted([*want, ("a", None, None)], key=str)
+
+    kept, cut = [], windows.cut
+    monkeypatch.setattr(windows, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        one = spark.range(10_000).where("id % 100 != 7").select(F.lit("k").alias("k"), "id")
+        assert windows.islands(one, ["k"], "id").count() == 101
+        sizes = [x["count"] for x in kept[0].groupBy("__part").count().collect()]
+    finally:
+        spark.conf.unset(coalesce)
+    assert sum(sizes) == 9_900 and max(sizes) < 5_000  # one key, but no task has it all
+
+
 def test_class_files(spark, tmp_path):
     import os
     import shutil
